@@ -40,13 +40,20 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+_WS_CHARS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029]
+    + [0x202F, 0x205F, 0x3000, 0xFEFF]
+)
+
+
 def js_trim(c: Column) -> Column:
-    return replace(c, rf"^[{WS}]+|[{WS}]+\z")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
-    """Every run of white space becomes one blank."""
-    return replace(c, rf"[{WS}]+", " ")
+    """Every run of white space becomes one blank (single blanks are not touched)."""
+    return replace(c, rf" [{WS}]+|[{WS}&&[^ ]][{WS}]*", " ")
 
 
 def utf16_length(c: Column) -> Column:
@@ -73,7 +80,7 @@ def is_blank(c: Column) -> Column:
 # --- Unicode forms -----------------------------------------------------------------------------
 # Code points below U+0300, Latin Extended Additional and General Punctuation quotes/dashes are
 # already in NFC, so rows made only of those never leave the JVM.
-_MAY_CHANGE_IN_NFC = r"[^\u0000-\u02FF\u1E00-\u1EFF\u2010-\u2027]"
+_MAY_CHANGE_IN_NFC = r"[\u0300-\u1DFF\u1F00-\u200F\u2028-\x{10FFFF}]"
 
 
 def _unicode_form(form: str):
@@ -92,7 +99,7 @@ def nfc(c: Column | str) -> Column:
 
 def nfd(c: Column | str) -> Column:
     c = col(c)
-    needs = F.regexp_like(c, F.lit(r"[^\u0000-\u007F]"))
+    needs = F.octet_length(c) != F.length(c)
     return F.coalesce(_unicode_form("NFD")(F.when(needs, c)), c)
 
 

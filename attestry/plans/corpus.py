@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.operators import dedupe, ingest
 from attestry.plans import sql as S
+from attestry.plans.registry import registry
 from attestry.session import cut_lineage
 from attestry.sources import documents as src
 from attestry.sources import tables
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 # --- building blocks ------------------------------------------------------------------------------
