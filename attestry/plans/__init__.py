@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "chunks"]
+MODULES = ["corpus", "chunks", "search"]
 
 
 def _collect(attribute: str) -> dict:
