@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "chunks", "search"]
+MODULES = ["corpus", "chunks", "search", "answers"]
 
 
 def _collect(attribute: str) -> dict:
