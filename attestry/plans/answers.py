@@ -48,7 +48,8 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("turn"),
     )
     found = rows.select(
-        "conv_id", "turn", F.col("answer_id").alias("chunk_id"), F.col("text").alias("content")
+        "conv_id", "turn", "role", F.col("answer_id").alias("chunk_id"),
+        F.col("text").alias("content"),
     )
     return asked.join(found, ["conv_id", "turn"]).select(
         "answer_id",
@@ -56,6 +57,7 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
         "chunk_id",
         F.col("conv_id").cast("string").alias("doc_id"),
         "content",
+        "role",
         F.lit(0.5).alias("score"),
     )
 
@@ -75,7 +77,7 @@ _ANS = (
     "nfc_normalize(text) AS text FROM conversations), "
     "ans AS (SELECT answer_id, conv_id, turn, text AS answer FROM turns WHERE role = 'assistant'), "
     "ctx AS (SELECT a.answer_id, c.turn + 1 AS pos, c.answer_id AS chunk_id, "
-    f"c.conv_id::VARCHAR AS doc_id, c.text AS content, {S.content_tokens('c.text')} AS ctok FROM "
+    f"c.conv_id::VARCHAR AS doc_id, c.role AS crole, c.text AS content, {S.content_tokens('c.text')} AS ctok FROM "
     f"ans a JOIN turns c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - {CONTEXT_TURNS} "
     "AND a.turn - 1)"
 )
