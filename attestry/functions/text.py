@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import fixed
@@ -129,6 +129,16 @@ def entity_norm(c: Column | str) -> Column:
     return js_trim(squeeze(nfc(F.lower(col(c)))))
 
 
+def name_norm(c: Column | str) -> Column:
+    """P14 for a column that is already composed; stays inside the JVM."""
+    return js_trim(squeeze(F.lower(col(c))))
+
+
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring columns to NFC once, so later expressions need no Python stage."""
+    return df.withColumns({c: nfc(c) for c in columns if c in df.columns})
+
+
 # --- tokens ------------------------------------------------------------------------------------------
 def words(c: Column) -> Column:
     """All ``[\\p{L}\\p{N}]+`` runs of the lower-cased text, in order."""
