@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "chunks", "search", "answers", "evals", "graphs"]
+MODULES = ["corpus", "chunks", "search", "answers", "evals", "graphs", "traces", "streams"]
 
 
 def _collect(attribute: str) -> dict:

@@ -151,9 +151,9 @@ def validate_extractions(spark: SparkSession, sf: str) -> DataFrame:
     "norm, type FROM er) GROUP BY 1",
 )
 def merge_extraction_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The second round repeats every name in upper case and adds nothing."""
+    """The second round repeats every name with other blanks and adds nothing."""
     one = cut_lineage(entity_rows(spark, sf)).withColumn("round", F.lit(1))
-    two = one.withColumns({"name": F.upper("name"), "round": F.lit(2)})
+    two = one.withColumns({"name": F.concat(F.lit(" "), "name", F.lit("\t")), "round": F.lit(2)})
     rel = relation_rows(spark, sf).withColumn("round", F.lit(1))
     ents, _ = G.merge_extraction_rounds(one.unionByName(two), rel)
     return ents.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("entities"))
