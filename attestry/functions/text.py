@@ -31,9 +31,12 @@ def replace(c: Column, pattern: str, to: str = "") -> Column:
 
 
 def js_round(c: Column, digits: int = 4) -> Column:
-    """Half-up towards plus infinity, as ``Math.round(x * 10^d) / 10^d``."""
+    """Half-up towards plus infinity, as ``Math.round(x * 10^d) / 10^d``.
+
+    Noise beyond ten decimals is removed first: distributed sums come in any order.
+    """
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5) / F.lit(scale)
+    return F.floor(F.round(c.cast("double"), 10) * scale + 0.5) / F.lit(scale)
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

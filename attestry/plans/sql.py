@@ -38,7 +38,7 @@ def utf16(e: str) -> str:
 
 
 def js_round(e: str, digits: int = 4) -> str:
-    return f"(floor(({e})::DOUBLE * 1e{digits} + 0.5) / 1e{digits})::DOUBLE"
+    return f"(floor(round(({e})::DOUBLE, 10) * 1e{digits} + 0.5) / 1e{digits})::DOUBLE"
 
 
 def words(e: str) -> str:
