@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestry import fixed
 from attestry.functions import text as T
-from attestry.session import rank_within
+from attestry.session import rank_within, shuffle_partitions
 
 RETRIEVAL_METRICS = [
     "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "context_precision", "context_recall",
@@ -198,6 +198,7 @@ def mean_bool(c: Column | str) -> Column:
 
 
 _MASK = 0xFFFFFFFF
+BROADCAST_ROWS = 500_000
 
 
 def _imul(a: Column, b: Column) -> Column:
@@ -207,25 +208,23 @@ def _imul(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(_MASK)
 
 
-def seeded_draw(seed: int, call: Column) -> Column:
-    """Number in [0, 1) returned by the ``call``-th (from 1) draw of the seeded generator.
+def seeded_draw(df: DataFrame, seed: int, call: Column, out: str = "draw") -> DataFrame:
+    """Add the number in [0, 1) that the ``call``-th (from 1) draw of the seeded generator returns.
 
-    Its state moves by a constant, so any draw is a pure function of the seed and its index.
+    Its state moves by a constant, so any draw is a pure function of the seed and its index. Each
+    mixing round is a column of its own and stays inside generated code.
     """
+    kept = df.columns
     start = F.lit(seed & _MASK).cast("long")
     a = (start + F.pmod(call, F.lit(1 << 32)) * F.lit(0x6D2B79F5)).bitwiseAND(_MASK)
-
-    def one(a: Column) -> Column:
-        return _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1))
-
-    def two(t: Column) -> Column:
-        mixed = _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))
-        return (t + mixed).bitwiseAND(_MASK).bitwiseXOR(t)
-
-    return T.let(
-        T.let(T.let(a, one), two),
-        lambda t: t.bitwiseXOR(F.shiftright(t, 14)).bitwiseAND(_MASK) / F.lit(4294967296.0),
-    )
+    df = df.select(*kept, a.alias("_a"))
+    one = _imul(F.col("_a").bitwiseXOR(F.shiftright("_a", 15)), F.col("_a").bitwiseOR(1))
+    df = df.select(*kept, one.alias("_t"))
+    mixed = _imul(F.col("_t").bitwiseXOR(F.shiftright("_t", 7)), F.col("_t").bitwiseOR(61))
+    two = (F.col("_t") + mixed).bitwiseAND(_MASK).bitwiseXOR(F.col("_t"))
+    df = df.select(*kept, two.alias("_t"))
+    last = F.col("_t").bitwiseXOR(F.shiftright("_t", 14)).bitwiseAND(_MASK)
+    return df.select(*kept, (last / F.lit(4294967296.0)).alias(out))
 
 
 def bootstrap_ci(
@@ -241,16 +240,21 @@ def bootstrap_ci(
         *keys, (F.col("_i") - 1).alias("_i"), F.col(value).cast("double").alias("_v")
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"))
+    # The drawn values are looked up by index. Few enough of them are sent to every task; beyond
+    # that the lookup is a shuffled join on (key, index), which draws hit evenly.
+    lookup = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     one = not keys
     base = rows.join(sizes) if one else rows.join(sizes, keys)
+    # A fixed number of slices: few input rows become many draws, so they must not be merged.
+    base = base.repartition(shuffle_partitions(values.sparkSession), *keys, "_i")
     draws = base.select(
         *keys, "n", "_i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it")
     )
     call = F.col("_it") * F.col("n") + F.col("_i") + 1
-    draws = draws.select(
-        *keys, "_it", F.floor(seeded_draw(seed, call) * F.col("n")).alias("_i")
+    draws = seeded_draw(draws, seed, call).select(
+        *keys, "_it", F.floor(F.col("draw") * F.col("n")).alias("_i")
     )
-    means = draws.join(rows, keys + ["_i"]).groupBy(*keys, "_it").agg(F.avg("_v").alias("_m"))
+    means = draws.join(lookup, keys + ["_i"]).groupBy(*keys, "_it").agg(F.avg("_v").alias("_m"))
     alpha = (1 - confidence) / 2
     low_at = math.floor(alpha * iterations) + 1
     high_at = min(iterations - 1, math.ceil((1 - alpha) * iterations) - 1) + 1

@@ -274,7 +274,10 @@ def build_postings(
     """
     composed = T.nfc(text)
     compounds = F.regexp_extract_all(
-        F.lower(composed), F.lit(r"[\p{L}\p{N}]+(?:[/\-.][\p{L}\p{N}]+)+"), F.lit(0)
+        # the look-behind keeps the scan from trying again inside every plain word
+        F.lower(composed),
+        F.lit(r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++(?:[/\-.][\p{L}\p{N}]++)+"),
+        F.lit(0),
     )
     rows = chunks.select(
         F.col(chunk_id).alias("chunk_id"),

@@ -273,11 +273,12 @@ _NORM_KEY = S.trim(S.squeeze("lower(nfc_normalize(text))"))
     "WHERE n < doc_id AND NOT (f < doc_id)",
 )
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = src.table(spark, sf, "documents").select(
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.sha2("text", 256).alias("checksum"),
         T.normalized_hash("text").alias("normalized_hash"),
     )
+    docs = cut_lineage(docs)  # hash every text once; the joins below read hashes only
     return (
         dedupe.near_duplicates(dedupe.exact_duplicates(docs))
         .where("near_duplicate_of is not null")

@@ -24,8 +24,9 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "lang", T.proper_nouns(T.nfc("text")).alias("names"))
 
 
-def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = names(spark, sf).select("doc_id", F.posexplode("names").alias("ord", "name"))
+def entity_rows(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    found = names(spark, sf) if found is None else found
+    rows = found.select("doc_id", F.posexplode("names").alias("ord", "name"))
     words = F.size(F.split("name", rf"[{T.WS}]+"))
     return rows.select(
         F.col("doc_id").alias("chunk_id"), "doc_id", "ord", "name",
@@ -34,12 +35,13 @@ def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def relation_rows(spark: SparkSession, sf: str) -> DataFrame:
+def relation_rows(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    found = names(spark, sf) if found is None else found
     pairs = F.arrays_zip(
         F.slice("names", 1, F.greatest(F.size("names") - 1, F.lit(0))).alias("source"),
         F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))).alias("target"),
     )
-    rows = names(spark, sf).where("size(names) > 1").select(
+    rows = found.where("size(names) > 1").select(
         "doc_id", F.posexplode(pairs).alias("ord", "p")
     )
     return rows.select(
@@ -51,9 +53,11 @@ def relation_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf: str) -> G.Graph:
     """Resolved graph; the stage boundary keeps text out of everything that follows."""
-    ents = cut_lineage(entity_rows(spark, sf))
+    found = cut_lineage(names(spark, sf))
+    ents = entity_rows(spark, sf, found)
     entities, mentions = G.resolve_entities(ents, ["doc_id", "ord"])
-    relations, proofs = G.resolve_relations(relation_rows(spark, sf), ents, ["doc_id", "ord"])
+    links = relation_rows(spark, sf, found)
+    relations, proofs = G.resolve_relations(links, ents, ["doc_id", "ord"])
     return G.Graph(
         cut_lineage(entities), mentions, cut_lineage(relations), cut_lineage(proofs)
     )
@@ -117,8 +121,9 @@ def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
     "FROM rel",
 )
 def resolve_relations(spark: SparkSession, sf: str) -> DataFrame:
-    ents = cut_lineage(entity_rows(spark, sf))
-    relations, _ = G.resolve_relations(relation_rows(spark, sf), ents, ["doc_id", "ord"])
+    found = cut_lineage(names(spark, sf))
+    ents, links = entity_rows(spark, sf, found), relation_rows(spark, sf, found)
+    relations, _ = G.resolve_relations(links, ents, ["doc_id", "ord"])
     return relations.select("key", "source_key", "target_key", "type", "weight")
 
 
@@ -134,8 +139,9 @@ def validate_extractions(spark: SparkSession, sf: str) -> DataFrame:
     chunks = src.table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")
     )
+    found = cut_lineage(names(spark, sf))
     ents, rels = G.validate_extractions(
-        cut_lineage(entity_rows(spark, sf)), relation_rows(spark, sf), chunks
+        entity_rows(spark, sf, found), relation_rows(spark, sf, found), chunks
     )
     count = F.count(F.lit(1)).alias("kept")
     a = ents.groupBy("type").agg(count, F.lit(0.0).alias("strength"))
