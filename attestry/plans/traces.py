@@ -83,7 +83,10 @@ def runs(step_rows: DataFrame) -> DataFrame:
         F.when(last_k % 3 == 0, "tool_choice rejected").alias("error_message"),
         F.concat(F.lit("k="), last_k.cast("string")).alias("answer"),
         (last_k / 100).alias("correctness"),
-        F.min(F.unix_millis(F.col("ts").cast("timestamp"))).cast("double").alias("started_ms"),
+        # the events carry no time zone, so the session's zone must not matter
+        F.min(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
+        .cast("double")
+        .alias("started_ms"),
         F.count_if(F.col("k") < 80).alias("format_valid"),
         F.count(F.lit(1)).alias("format_total"),
         F.count_if(bought).alias("claims"),
