@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, feistel, grace
-from attestry.llm.common import read
+from pyspark.sql import functions as F
+
+from attestry.llm import bpe, feistel, grace, langid, toxicity
+from attestry.llm.common import fold, read
 
 
 def _upper(text: str) -> str:
@@ -29,13 +31,33 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, drop=("text",))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_feistel_shards(spark, sf_dir):
     return feistel.shard_rows(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_langid(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model, drop=("text",)).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_grace_dedup": op6_grace_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_feistel_shards": op8_feistel_shards,
+    "op10_langid": op10_langid,
 }
 ORACLES = {"op6_grace_dedup": OP6_SQL}
