@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, feistel, grace, langid, toxicity
+from attestry.llm import bpe, feistel, grace, langid, toxicity, warc
 from attestry.llm.common import fold, read
 
 
@@ -12,6 +12,23 @@ def _upper(text: str) -> str:
     return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_warc(spark, sf_dir):
+    return warc.archive_pages(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op3_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -54,10 +71,11 @@ def op10_langid(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op6_grace_dedup": op6_grace_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op6_grace_dedup": OP6_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_grace_dedup": OP6_SQL}
