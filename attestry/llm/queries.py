@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, feistel, grace, langid, toxicity, warc
+from attestry.llm import bpe, feistel, grace, langid, mixing, toxicity, warc
 from attestry.llm.common import fold, read
 
 
@@ -12,6 +12,14 @@ def _upper(text: str) -> str:
     return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Wanted shares of tokens by the label ``quality``.
+QUALITY_WEIGHTS = {"1": 0.95, "0": 0.05}
+
+
+def op1_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("quality"), QUALITY_WEIGHTS)
+
+
 def op2_warc(spark, sf_dir):
     return warc.archive_pages(read(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -71,6 +79,7 @@ def op10_langid(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op6_grace_dedup": op6_grace_dedup,
