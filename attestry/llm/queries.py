@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, feistel, grace, langid, mixing, toxicity, warc
+from attestry.llm import bpe, feistel, grace, hnsw, langid, mixing, toxicity, warc
 from attestry.llm.common import fold, read
 
 
@@ -70,6 +70,24 @@ def op8_feistel_shards(spark, sf_dir):
     return feistel.shard_rows(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_hnsw(spark, sf_dir):
+    return hnsw.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_dot_product(embedding, embedding) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(c.low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""
+
+
 def op10_langid(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
@@ -85,6 +103,7 @@ QUERIES = {
     "op6_grace_dedup": op6_grace_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_hnsw": op9_hnsw,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op6_grace_dedup": OP6_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_grace_dedup": OP6_SQL, "op9_hnsw": OP9_SQL}
