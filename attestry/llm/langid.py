@@ -149,9 +149,11 @@ def train(docs: DataFrame, usable: Column, rows_per_lang: int = 600, id_col: str
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
         F.xxhash64(F.col(id_col)).alias("draw"),
     )
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rate = F.least(F.lit(1.0), F.lit(1.3 * rows_per_lang) / F.col("n"))
-    drawn = labelled.join(sizes, "lang").filter(F.pmod("draw", F.lit(1_000_000)) < rate * 1_000_000)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not sizes:
+        return Model()
+    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(1.3e6 * rows_per_lang / r["n"]))])
+    drawn = labelled.filter(F.pmod("draw", F.lit(1_000_000)) < F.element_at(rates, F.col("lang")))
 
     def features(batch: pa.RecordBatch) -> list:
         got = [counts(t) for t in batch.column(1).to_pylist()]
