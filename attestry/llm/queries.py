@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, feistel, grace, hnsw, langid, mixing, toxicity, warc
+from attestry.llm import bpe, feistel, grace, hnsw, langid, mixing, partenum, toxicity, warc
 from attestry.llm.common import fold, read
 
 
@@ -44,6 +44,30 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_partenum(spark, sf_dir):
+    return partenum.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(trim({_upper("coalesce(text, '')")}, chr(32) || chr(9) || chr(10)
+  || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+  list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM d),
+e AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS x FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+rare AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM (SELECT e.* FROM e JOIN rare USING (x)) a
+  JOIN (SELECT e.* FROM e JOIN rare USING (x)) b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c.low, n.doc_id)) AS component_id
+FROM n LEFT JOIN c ON c.a = n.doc_id
+"""
+
+
 def op6_grace_dedup(spark, sf_dir):
     return grace.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -100,10 +124,11 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op5_partenum": op5_partenum,
     "op6_grace_dedup": op6_grace_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_hnsw": op9_hnsw,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op6_grace_dedup": OP6_SQL, "op9_hnsw": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op5_partenum": OP5_SQL, "op6_grace_dedup": OP6_SQL, "op9_hnsw": OP9_SQL}
