@@ -51,10 +51,11 @@ def op5_partenum(spark, sf_dir):
 OP5_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(trim({_upper("coalesce(text, '')")}, chr(32) || chr(9) || chr(10)
   || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN w = [''] THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(
-  list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM d),
-e AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS x FROM s),
-n AS (SELECT doc_id, len(g) AS n FROM s),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k, len(w) AS m FROM d WHERE w <> ['']),
+g AS (SELECT doc_id, k, m, concat_ws(' ', t, lead(t, 1) OVER v, lead(t, 2) OVER v, lead(t, 3) OVER v, lead(t, 4) OVER v)
+  AS g FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY k)),
+e AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS x FROM g WHERE k = 1 OR k + 4 <= m),
+n AS (SELECT d.doc_id, count(e.x) AS n FROM d LEFT JOIN e USING (doc_id) GROUP BY d.doc_id),
 rare AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM (SELECT e.* FROM e JOIN rare USING (x)) a
   JOIN (SELECT e.* FROM e JOIN rare USING (x)) b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
