@@ -29,7 +29,6 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_ID = "<urn:page:{}>"
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 16 << 10
-ARCHIVE_BYTES = 32 << 20
 REVISIT_LEAST = 100
 UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 RECORD_SCHEMA = (
@@ -102,14 +101,15 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) to archives below ``path``.
 
     Of rows with equal payloads of at least ``REVISIT_LEAST`` bytes, those with the smallest
     page_id are responses and the others revisit it; smaller payloads are all responses, and so
     is a payload whose rows have no page_id at all. A null html is the empty payload, a null url
-    is left out. Only ids and digests are shuffled to find equal payloads; html moves once, dealt
-    by page_id, and a payload that is revisited isn't written again.
+    is left out. Only ids and digests are shuffled to find equal payloads; html moves once at most,
+    in the join by page_id, each of whose tasks writes one archive, and a payload that is
+    revisited isn't written again.
     """
     spark = pages.sparkSession
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
@@ -117,7 +117,6 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")
     ).withColumn("n_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
     digests = staged(digested.select("page_id", "n_bytes", "digest"))
-    total = digests.agg(F.sum("n_bytes")).first()[0] or 0
     repeated = (
         digests.filter(F.col("n_bytes") >= REVISIT_LEAST).groupBy("digest", "n_bytes")
         .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
@@ -127,13 +126,12 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         .filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         .select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), "refers_to").distinct()
     )
-    parts = max(1, -(-int(total) // archive_bytes))
     joined = digested.join(
         revisits, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left"
     )
     records = joined.select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("payload"), "n_bytes", "digest", "refers_to"
-    ).repartition(parts, F.xxhash64("page_id", "digest"))
+    )
     frames = records.mapInArrow(_frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     frames.write.option("lineSep", SEPARATOR).text(path)
 
