@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, feistel, grace, hnsw, langid, mixing, partenum, toxicity, warc
+from attestry.llm import bpe, feistel, grace, hnsw, langid, mixing, partenum, site_tree, toxicity, warc
 from attestry.llm.common import fold, read
 
 
@@ -44,6 +44,10 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_site_tree(spark, sf_dir):
+    return site_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_partenum(spark, sf_dir):
     return partenum.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -125,6 +129,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_site_tree": op4_site_tree,
     "op5_partenum": op5_partenum,
     "op6_grace_dedup": op6_grace_dedup,
     "op7_toxicity": op7_toxicity,
