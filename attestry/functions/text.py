@@ -218,7 +218,7 @@ def numbers_with_unit(c: Column | str) -> Column:
     """``array<struct<unit, value>>`` for a number or number word before a two-word unit."""
     text = F.lower(col(c))
     # longer number words first so that "mười lăm" is not read as "mười"
-    number_words = "mười lăm|hai mươi|ba mươi|một|hai|ba|bốn|năm|sáu|bảy|tám|chín|mười"
+    number_words = "|".join(sorted(fixed.NUMBER_WORDS, key=lambda w: (-len(w.split()), w)))
     pattern = (
         rf"([0-9]+(?:[.,][0-9]+)?|(?:{number_words}))[{WS}]+([a-zà-ỹ]+[{WS}]+[a-zà-ỹ]+)"
     )

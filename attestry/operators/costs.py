@@ -12,6 +12,8 @@ from pyspark.sql import types as t
 from attestry import fixed
 from attestry.functions import text as T
 
+SENSITIVE = "(?i)" + "|".join(fixed.SENSITIVE_KEYS)
+
 
 def _price(table: dict[str, tuple[float, float]], key: Column, at: int) -> Column:
     prices = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v[at]))])
@@ -32,34 +34,32 @@ def estimate_cost(
     )
 
 
-def redact_nested(value: Column, kind: t.DataType, depth: int = 0) -> Column:
-    """Walk the schema; sensitive keys are masked, strings elsewhere redacted."""
-    if depth > 10:
-        return value
+def redact_nested(value: Column, kind: t.DataType) -> Column:
+    """Walk the whole schema; sensitive keys are masked, strings elsewhere redacted."""
     if isinstance(kind, t.StringType):
         return T.redact_text(value)
     if isinstance(kind, t.ArrayType):
-        return F.transform(value, lambda v: redact_nested(v, kind.elementType, depth + 1))
+        return F.transform(value, lambda v: redact_nested(v, kind.elementType))
     if isinstance(kind, t.MapType):
         if not isinstance(kind.valueType, t.StringType):
             # a typed value cannot hold the mask, so a sensitive entry keeps its key only
             return F.transform_values(
                 value,
                 lambda k, v: F.when(
-                    ~F.regexp_like(k, F.lit(fixed.SENSITIVE_KEYS)),
-                    redact_nested(v, kind.valueType, depth + 1),
+                    ~F.regexp_like(k, F.lit(SENSITIVE)),
+                    redact_nested(v, kind.valueType),
                 ),
             )
         return F.transform_values(
             value,
             lambda k, v: F.when(
-                F.regexp_like(k, F.lit(fixed.SENSITIVE_KEYS)), F.lit(fixed.REDACTED)
-            ).otherwise(redact_nested(v, kind.valueType, depth + 1)),
+                F.regexp_like(k, F.lit(SENSITIVE)), F.lit(fixed.REDACTED)
+            ).otherwise(redact_nested(v, kind.valueType)),
         )
     if isinstance(kind, t.StructType):
         fields = [
-            (F.lit(fixed.REDACTED) if re.search(fixed.SENSITIVE_KEYS, f.name)
-             else redact_nested(value[f.name], f.dataType, depth + 1)).alias(f.name)
+            (F.lit(fixed.REDACTED) if re.search(SENSITIVE, f.name)
+             else redact_nested(value[f.name], f.dataType)).alias(f.name)
             for f in kind.fields
         ]
         return F.when(value.isNotNull(), F.struct(*fields))
@@ -73,7 +73,7 @@ def redact_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         *[
             (
                 F.lit(fixed.REDACTED)
-                if re.search(fixed.SENSITIVE_KEYS, f.name)
+                if re.search(SENSITIVE, f.name)
                 else redact_nested(F.col(f.name), f.dataType)
             ).alias(f.name)
             if f.name in names

@@ -198,7 +198,6 @@ def mean_bool(c: Column | str) -> Column:
 
 
 _MASK = 0xFFFFFFFF
-BROADCAST_ROWS = 500_000
 
 
 def _imul(a: Column, b: Column) -> Column:
@@ -243,9 +242,7 @@ def bootstrap_ci(
         *keys, (F.col("_i") - 1).alias("_i"), F.col(value).cast("double").alias("_v")
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"))
-    # The drawn values are looked up by index. Few enough of them are sent to every task; beyond
-    # that the lookup is a shuffled join on (key, index), which draws hit evenly.
-    lookup = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    # The drawn values are looked up by (key, index), which draws hit evenly.
     one = not keys
     base = rows.join(sizes) if one else rows.join(sizes, keys)
     # A fixed number of slices: few input rows become many draws, so they must not be merged.
@@ -257,7 +254,7 @@ def bootstrap_ci(
     draws = seeded_draw(draws, seed, call).select(
         *keys, "_it", F.floor(F.col("draw") * F.col("n")).alias("_i")
     )
-    means = draws.join(lookup, keys + ["_i"]).groupBy(*keys, "_it").agg(F.avg("_v").alias("_m"))
+    means = draws.join(rows, keys + ["_i"]).groupBy(*keys, "_it").agg(F.avg("_v").alias("_m"))
     alpha = (1 - confidence) / 2
     low_at = math.floor(alpha * iterations) + 1
     high_at = min(iterations - 1, math.ceil((1 - alpha) * iterations) - 1) + 1

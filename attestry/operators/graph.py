@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attestry import fixed
 from attestry.functions import text as T
 from attestry.operators.retrieval import apply_filters, top_k
-from attestry.session import salted_join
+from attestry.session import rank_within, salted_join
 
 
 @dataclass
@@ -94,14 +94,21 @@ def merge_extraction_rounds(
 
 
 def pending_extractions(
-    chunks: DataFrame, cache: DataFrame, model: str, version: str, budget: int = 40
-) -> tuple[DataFrame, DataFrame]:
-    """(cache hits, chunks to extract now). ``budget`` calls per document, in chunk order."""
+    chunks: DataFrame, cache: DataFrame, model: str, version: str, budget: int | None = None,
+    gleanings: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cache hits, chunks to extract now, chunks deferred to a later run).
+
+    A document may make ``budget`` calls a run, in chunk order; a chunk takes one call and one for
+    each gleaning. What doesn't fit whole is deferred; without a budget nothing is.
+    """
     keyed = chunks.withColumn("chunk_hash", F.sha2("content", 256))
     done = cache.where((F.col("model") == model) & (F.col("prompt_version") == version))
     hits = keyed.join(done.drop("model", "prompt_version"), "chunk_hash")
     missing = keyed.join(done.select("chunk_hash"), "chunk_hash", "left_anti")
-    return hits, top_k(missing, ["doc_id"], [F.col("seq"), F.col("chunk_id")], budget, "call_no")
+    numbered = rank_within(missing, ["doc_id"], ["seq", "chunk_id"], "call_no")
+    fits = F.lit(True) if budget is None else F.col("call_no") * (1 + gleanings) <= budget
+    return hits, numbered.where(fits), numbered.where(~fits)
 
 
 # --- G4, G5: resolution ----------------------------------------------------------------------------

@@ -6,6 +6,7 @@ Every function takes a queries table and returns ``query_id, chunk_id, score, ra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -153,13 +154,16 @@ def _ranked(near: DataFrame, k: int, kind: str) -> DataFrame:
 
 
 # --- R2: approximate search ----------------------------------------------------------------------------
+TILE_ROWS = 4096
+
+
 def vector_topk_ann(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 20,
     kind: str = "cosine",
-    cells: int = 16,
-    probe: int = 4,
+    cells: int | None = None,
+    probe: int | None = None,
     seed: int = 7,
     sample: float = 1.0,
     query_id: str = "query_id",
@@ -169,14 +173,19 @@ def vector_topk_ann(
 ) -> DataFrame:
     """R2: k-means cells; each query looks into its ``probe`` nearest ones.
 
-    ``cells`` and ``probe`` trade recall for work, as graph-index knobs do. A cell may hold a third
-    of the vectors: its rows are salted by tile, so one cell is many tasks.
+    ``cells`` and ``probe`` trade recall for work, as graph-index knobs do; by default there are as
+    many cells as the root of the number of vectors, and a quarter of them is probed. A cell may
+    hold a third of the vectors: its rows are dealt over slots, as many as it takes for the whole
+    table in tiles of ``TILE_ROWS``, so one cell is many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     q_type = queries.schema[query_id].dataType.simpleString()
     c_type = vectors.schema[chunk_id].dataType.simpleString()
+    n = vectors.count()
+    cells = cells or max(1, math.isqrt(n))
+    probe = probe or -(-cells // 4)
     points = vectors.select(
         chunk_id, vec, array_to_vector(F.col(vec).cast("array<double>")).alias("features")
     )
@@ -201,7 +210,7 @@ def vector_topk_ann(
         F.col("prediction").alias("cell"),
     )
     # pack cell members and the cell's queries, then meet on (cell, slot)
-    slots = 8
+    slots = max(1, -(-n // TILE_ROWS))
     xt = _cell_tiles(x, "chunk_id", "v", c_type, "c", slots)
     qt = _cell_tiles(q, "query_id", "qv", q_type, "q", 1).drop("slot").withColumn(
         "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
@@ -211,7 +220,7 @@ def vector_topk_ann(
 
 
 def _cell_tiles(
-    df: DataFrame, id_col: str, vec_col: str, id_type: str, prefix: str, slots: int, rows: int = 4096
+    df: DataFrame, id_col: str, vec_col: str, id_type: str, prefix: str, slots: int, rows: int = TILE_ROWS
 ) -> DataFrame:
     """Tiles that hold one (cell, slot) each; tiles stay bounded however large a cell is."""
     placed = df.withColumn("slot", F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int"))
@@ -293,13 +302,26 @@ def write_postings(postings: DataFrame, name: str, buckets: int = 64) -> None:
     postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
 
 
-def occurrence_weight(tf: Column, most: int = 256) -> Column:
-    """Sum of 1/j^2 over a term's occurrences, the part of the rank that differs between chunks."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.least(tf.cast("int"), F.lit(most))),
+def occurrence_weight(tf: Column) -> Column:
+    """Sum of 1/j^2 over all of a term's occurrences, the part of the rank that differs between chunks.
+
+    The first ``SUMMED`` terms are added up; the sum of the others is the difference of two tails
+    whose series is exact to double precision there, so that any frequency costs the same.
+    """
+    few = F.aggregate(
+        F.sequence(F.lit(1), F.least(tf.cast("int"), F.lit(SUMMED))),
         F.lit(0.0),
         lambda acc, j: acc + F.lit(1.0) / (j * j),
     )
+    return F.when(tf <= SUMMED, few).otherwise(few + _tail(F.lit(float(SUMMED))) - _tail(tf.cast("double")))
+
+
+SUMMED = 32
+
+
+def _tail(n: Column) -> Column:
+    """Sum of 1/j^2 over all j > n, by the Euler-Maclaurin series."""
+    return 1 / n - 1 / (2 * n * n) + 1 / (6 * n * n * n) - 1 / (30 * n * n * n * n * n)
 
 
 def keyword_topk(

@@ -17,9 +17,6 @@ from attestry.sources import documents as src
 
 QUERIES, ORACLES, query = registry()
 
-CONTEXT_TURNS = 8
-
-
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.table(spark, sf, "conversations")
     return rows.select(
@@ -36,22 +33,14 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context(spark: SparkSession, sf: str) -> DataFrame:
-    """The eight turns before an answer. Each offset is an equi-join key, so a very long
-    conversation costs a constant number of rows per answer."""
+    """All turns before an answer."""
     rows = turns(spark, sf)
-    asked = rows.where("role = 'assistant'").select(
-        "answer_id", "conv_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(CONTEXT_TURNS)), lambda o: F.col("turn") - o
-            )
-        ).alias("turn"),
-    )
+    asked = rows.where("role = 'assistant'").select("answer_id", "conv_id", F.col("turn").alias("asked"))
     found = rows.select(
         "conv_id", "turn", "role", F.col("answer_id").alias("chunk_id"),
         F.col("text").alias("content"),
     )
-    return asked.join(found, ["conv_id", "turn"]).select(
+    return asked.join(found, "conv_id").where("turn < asked").select(
         "answer_id",
         (F.col("turn") + 1).alias("pos"),
         "chunk_id",
@@ -78,8 +67,7 @@ _ANS = (
     "ans AS (SELECT answer_id, conv_id, turn, text AS answer FROM turns WHERE role = 'assistant'), "
     "ctx AS (SELECT a.answer_id, c.turn + 1 AS pos, c.answer_id AS chunk_id, "
     f"c.conv_id::VARCHAR AS doc_id, c.role AS crole, c.text AS content, {S.content_tokens('c.text')} AS ctok FROM "
-    f"ans a JOIN turns c ON c.conv_id = a.conv_id AND c.turn BETWEEN a.turn - {CONTEXT_TURNS} "
-    "AND a.turn - 1)"
+    f"ans a JOIN turns c ON c.conv_id = a.conv_id AND c.turn < a.turn)"
 )
 _LOWER = S.trim("lower(answer)")
 _STRONG = " OR ".join(f"contains({_LOWER}, '{p}')" for p in fixed.STRONG_ABSTENTION)

@@ -173,10 +173,12 @@ def merge_extraction_rounds(spark: SparkSession, sf: str) -> DataFrame:
     " (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'fr')), "
     "m AS (SELECT doc_id, seq FROM l WHERE sha256(content) NOT IN (SELECT h FROM c)), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM m) "
-    "SELECT doc_id, count(*) AS calls, max(seq)::INT AS last_seq FROM r WHERE n <= 40 GROUP BY 1",
+    "SELECT doc_id, 2 * count(*) FILTER (WHERE 2 * n <= 40) AS calls, "
+    "max(seq) FILTER (WHERE 2 * n <= 40)::INT AS last_seq, "
+    "count(*) FILTER (WHERE 2 * n > 40) AS deferred FROM r GROUP BY 1",
 )
 def pending_extractions(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as chunks; French lines were extracted before."""
+    """Lines as chunks, one gleaning each; French lines were extracted before."""
     docs = src.table(spark, sf, "documents").select("doc_id", "lang", "text")
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("seq", "content"))
     chunks = lines.withColumn("chunk_id", F.concat_ws("-", "doc_id", "seq"))
@@ -184,9 +186,13 @@ def pending_extractions(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("content", 256).alias("chunk_hash"), F.lit("m").alias("model"),
         F.lit("1").alias("prompt_version"),
     ).distinct()
-    _, todo = G.pending_extractions(chunks, cache, "m", "1")
-    return todo.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("calls"), F.max("seq").alias("last_seq")
+    _, now, later = G.pending_extractions(chunks, cache, "m", "1", budget=40, gleanings=1)
+    both = now.select("doc_id", "seq", F.lit(0).alias("later")).union(
+        later.select("doc_id", F.lit(None).cast("int"), F.lit(1))
+    )
+    return both.groupBy("doc_id").agg(
+        (2 * F.sum(1 - F.col("later"))).alias("calls"), F.max("seq").alias("last_seq"),
+        F.sum("later").alias("deferred"),
     )
 
 

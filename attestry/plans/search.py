@@ -142,7 +142,7 @@ _POSTING_CTE = (
 )
 _KEYWORD_CTES = (
     f"{_TERM_CTE}, {_POSTING_CTE}, kraw AS (SELECT query_id, chunk_id, round(sum(list_sum("
-    "list_transform(range(1, least(tf, 256) + 1), lambda j: 1.0::DOUBLE / (j * j)))), 9) AS raw "
+    "list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j)))), 9) AS raw "
     "FROM terms JOIN postings USING (term) GROUP BY ALL), "
     "ktop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id)::INT "
     "AS rank FROM kraw), "

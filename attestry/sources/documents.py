@@ -16,12 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row text work when the scan has fewer splits than cores.
+    """Deal rows out before heavy text work, over as many tasks as the session asks for.
 
-    A no-op on tables of many files, where the scan already has enough tasks.
+    Only where ``spark.attestry.textPartitions`` is set, for tables of one or two large row groups;
+    otherwise the scan's own splits are used.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get("spark.attestry.textPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def with_checksum(df: DataFrame, content: str = "content") -> DataFrame:

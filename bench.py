@@ -28,6 +28,7 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
+        spark__attestry__textPartitions=cpus,
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

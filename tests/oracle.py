@@ -67,6 +67,7 @@ def session():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="12g",
+        spark__attestry__textPartitions="8",
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
