@@ -145,6 +145,8 @@ def parse(html: str | None) -> Node:
     builder = Builder()
     if html:
         builder.feed(html)
+        if re.match(r"<[A-Za-z/!?]", builder.rawdata):  # a tag cut off by the end is no text
+            builder.rawdata = ""
         builder.close()
     return builder.root
 
