@@ -21,7 +21,7 @@ from attestry.llm.common import staged
 from attestry.llm.components import components
 
 SHARD = 8_192
-AUDITED = 48
+AUDITED = 256
 MARGIN = 0.01
 
 
@@ -192,35 +192,45 @@ class Graph:
         return self
 
 
-def ask(graph: Graph, there: np.ndarray, here: np.ndarray, least: float, same: bool, wanted_recall: float) -> np.ndarray:
-    """Boolean (here x there) of pairs with cosine of at least ``least``; both are unit vectors in double.
+def ask(graph: Graph, there: np.ndarray, here: np.ndarray, least: float, width: int, same: bool) -> np.ndarray:
+    """Boolean (here x there) of pairs found whose cosine is at least ``least``; unit vectors in double."""
+    asked = here.astype(np.float32)
+    links = np.zeros((len(here), len(there)), dtype=bool)
+    for i in range(len(here)):
+        near = graph.within(asked[i], least - MARGIN, width, i if same else None)
+        links[i, near[there[near] @ here[i] >= least]] = True
+    return links
 
-    The beam doubles until the audited vectors miss no more than ``wanted_recall`` allows of what
-    brute force finds for them, or it is as wide as the shard.
-    """
-    audited = np.unique(np.linspace(0, len(here) - 1, min(AUDITED, len(here))).astype(int))
-    truth = here[audited] @ there.T >= least
+
+def audited(links: np.ndarray, here: np.ndarray, there: np.ndarray, least: float, same: bool) -> tuple[int, int]:
+    """Of ``AUDITED`` rows' links by brute force: how many were found, how many there are."""
+    rows = np.unique(np.linspace(0, len(here) - 1, min(AUDITED, len(here))).astype(int))
+    truth = here[rows] @ there.T >= least
     if same:
-        truth[np.arange(len(audited)), audited] = False
-    asked, width = here.astype(np.float32), 16
-    links = np.zeros((len(here), len(there)), dtype=bool)
+        truth[np.arange(len(rows)), rows] = False
+    return int((links[rows] & truth).sum()), int(truth.sum())
 
-    def one(i: int) -> None:
-        near = graph.within(asked[i], least - MARGIN, width, i if same else None)
-        if len(near):
-            links[i, near[there[near] @ here[i] >= least]] = True
-            if same:
-                links[i, i] = False
 
+def link_shards(a: tuple[Graph, np.ndarray], b: tuple[Graph, np.ndarray] | None, least: float, wanted_recall: float) -> np.ndarray:
+    """Links between two shards, or within one: each asks the other, and a pair found either way counts.
+
+    The beam widens four times each time that the audit of either side finds fewer than
+    ``wanted_recall`` of the links, until it is as wide as the shards.
+    """
+    width, same = 8, b is None
+    other = a if same else b
     while True:
-        for i in audited:
-            one(i)
-        if (links[audited] & truth).sum() >= wanted_recall * truth.sum() or width >= len(there):
-            break
-        width *= 2
-    for i in range(len(here)):
-        one(i)
-    return links
+        links = ask(a[0], a[1], other[1], least, width, same).T
+        links = links | (links.T if same else ask(other[0], other[1], a[1], least, width, False))
+        if same:
+            np.fill_diagonal(links, False)
+        found, true = audited(links, a[1], other[1], least, same)
+        if not same:
+            more = audited(links.T, other[1], a[1], least, False)
+            found, true = found + more[0], true + more[1]
+        if found >= wanted_recall * true or width >= max(len(a[1]), len(other[1])):
+            return links
+        width *= 4
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -283,16 +293,14 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, shard_rows: int = SHAR
         r = frame.iloc[0]
         dim, same = int(r["dim"]), r["shard"] == r["shard_b"]
         ids, unit = np.frombuffer(r["ids"], "<i8"), _unit(r["raw"], dim)
-        mine = Graph.unpack(unit, r["graph"])
+        mine = (Graph.unpack(unit, r["graph"]), unit)
         if same:
-            links = ask(mine, unit, unit, least, True, wanted_recall)
-            links |= links.T
+            links = link_shards(mine, None, least, wanted_recall)
             counts = links.sum(axis=1)
             at = np.argwhere(links)
         else:
             ids_b, unit_b = np.frombuffer(r["ids_b"], "<i8"), _unit(r["raw_b"], dim)
-            links = ask(mine, unit, unit_b, least, False, wanted_recall).T
-            links |= ask(Graph.unpack(unit_b, r["graph_b"]), unit_b, unit, least, False, wanted_recall)
+            links = link_shards(mine, (Graph.unpack(unit_b, r["graph_b"]), unit_b), least, wanted_recall)
             counts = np.r_[links.sum(axis=1), links.sum(axis=0)]
             at = np.argwhere(links) + [0, len(ids)]
             ids = np.r_[ids, ids_b]
