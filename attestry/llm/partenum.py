@@ -40,6 +40,7 @@ FREQUENT_LEAST = 50
 FREQUENT_MOST = 65_536
 SPREAD = 1.3
 SMALL = 16
+STEP = 8
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -258,27 +259,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("text_hash") == F.col("rh")))
     sets = staged(texts.select("node", "text").mapInArrow(_features, "node long, f array<long>").dropDuplicates(["node"]))
 
-    links, tested, linked, first = None, None, None, 1
+    # Each round tests the next members of the buckets, STEP times as many as before, against those
+    # after them; a pair in one component is settled. Without new links the components stand.
+    open_ = open_.withColumn("root", F.col("node"))
+    links, tested, linked, first, last = None, None, None, 1, 1
     while True:
-        low = open_.filter(F.col("k").between(first, 2 * first - 1))
-        low = low.select("sig", F.col("node").alias("a"), F.col("k").alias("ka"), *([F.col("root").alias("ra")] if linked is not None else []))
-        high = open_.select("sig", F.col("node").alias("b"), F.col("k").alias("kb"), *([F.col("root").alias("rb")] if linked is not None else []))
-        both = low.join(high, "sig").filter("ka < kb" + (" AND ra <> rb" if linked is not None else ""))
-        pairs = both.select("a", "b").distinct()
+        low = open_.filter(F.col("k").between(first, last)).select(
+            "sig", F.col("node").alias("a"), F.col("k").alias("ka"), F.col("root").alias("ra")
+        )
+        high = open_.select("sig", F.col("node").alias("b"), F.col("k").alias("kb"), F.col("root").alias("rb"))
+        pairs = low.join(high, "sig").filter("ka < kb AND ra <> rb").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = _verified(pairs, sets)
-        links = staged(found if links is None else links.union(found))
-        linked = components(links, "a", "b")
-        first *= 2
-        plain = open_.select("sig", "node", "k", "m").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")) \
-            if "root" not in open_.columns else \
-            open_.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        plain = plain.filter(F.col("m") >= first)
+        found = staged(_verified(pairs, sets))
+        if linked is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            linked = components(links, "a", "b")
+        first, last = last + 1, last + STEP * (last - first + 1)
+        left = open_.filter(F.col("m") >= first + 1).drop("root").join(linked, "node", "left")
+        left = left.withColumn("root", F.coalesce("root", "node"))
         open_ = staged(
-            plain.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
+            left.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
             .filter("low < high").drop("low", "high")
         )
         if open_.isEmpty():
