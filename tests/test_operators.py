@@ -42,22 +42,69 @@ def test_duplicates_skip_dead_rows(spark):
     assert got == {1: None, 2: None, 3: 2, 4: None}
 
 
-def test_structure_chunks_repeat_table_header_and_group():
+def chunks_of(spark, text, strategy="structure", **bounds):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return chunking.chunk_documents(df, strategy, **bounds).orderBy("seq").collect()
+
+
+def test_structure_chunks_repeat_table_header_and_group(spark):
     rows = "\n".join(f"| a{i} | b{i} |" for i in range(60))
     text = f"# Top\n\nIntro.\n\n## Part\n\n| h1 | h2 |\n| --- | --- |\n{rows}"
-    chunks = chunking.structure_chunks(text, 60, 5, 10, chunking.Meter(chunking.count_tokens))
+    chunks = chunks_of(spark, text, size=60, least=5, overlap=10)
     table = [c for c in chunks if c["table_group"]]
     assert len(table) > 1 and {c["table_group"] for c in table} == {"tg1"}
     assert all(c["content"].startswith("| h1 | h2 |\n| --- | --- |") for c in table)
-    assert all(c["section"] == "Top > Part" for c in table)
-    assert all(chunking.count_tokens(c["content"]) <= 60 for c in table)
+    assert all(c["section"] == "Top > Part" and c["has_table"] for c in table)
+    assert all(c["tokens"] <= 60 for c in table)
+    assert {line for c in table for line in c["content"].split("\n")} == {"| h1 | h2 |", "| --- | --- |", *rows.split("\n")}
+
+
+def test_markdown_blocks(spark):
+    text = "pre\n\n# A ##\ntext\nmore\n```py\n# no heading\n\n```\n- x\n- y\n### C\n\n> q\n## B\n|a|\n|b|\n~~~\nopen"
+    got = one(spark, chunking.markdown_blocks(F.col("t")), t=text)
+    assert [(b["section"], list(b["path"]), b["kind"], b["text"]) for b in got] == [
+        (0, [], "paragraph", "pre"), (1, ["A"], "paragraph", "text\nmore"),
+        (1, ["A"], "code", "```py\n# no heading\n\n```"), (1, ["A"], "list", "- x\n- y"),
+        (2, ["A", "C"], "quote", "> q"), (3, ["A", "B"], "table", "|a|\n|b|"), (3, ["A", "B"], "code", "~~~\nopen"),
+    ]
+
+
+def test_sections_pack_merge_and_tell_why(spark):
+    text = "# A\n\none two\n\nthree four\n\n## B\n\nfive\n\n# C\n\nsix seven eight nine ten\n\neleven"
+    got = chunks_of(spark, text, size=5, least=2, overlap=1)
+    assert [(c["content"], c["section"], c["split_reason"], list(c["merged_sections"])) for c in got] == [
+        ("one two\n\nthree four\n\nfive", "A", "small-section-merged", ["A > B"]),
+        ("six seven eight nine ten", "C", "section-packed", []), ("eleven", "C", "section-packed", []),
+    ]
+    assert chunks_of(spark, None) == [] and chunks_of(spark, " \n ") == []
+
+
+def test_long_blocks_are_cut_after_sentences_with_overlap(spark):
+    text = " ".join(f"This is sentence {i}." for i in range(30))
+    got = chunks_of(spark, text, size=25, least=1, overlap=5)
+    assert all(c["tokens"] <= 25 and c["split_reason"] == "block-oversized-split" for c in got)
+    for a, b in zip(got, got[1:]):
+        assert b["content"].startswith(a["content"][a["content"].rindex("This"):])
+
+
+def test_fixed_windows_cover_all_words(spark):
+    text = " ".join(f"w{i}" for i in range(500)) + "\n\n" + "x" * 70 + "\n\nlast one"
+    parts = [c["content"] for c in chunks_of(spark, text, "fixed", size=50, least=1, overlap=10)]
+    assert {w for p in parts for w in p.split()} == set(text.split())
+    assert all(len(p.split()) <= 50 for p in parts)
+    for a, b in zip(parts[:9], parts[1:10]):
+        assert set(a.split()[-9:]) <= set(b.split())
 
 
-def test_fixed_windows_cover_all_words():
-    text = " ".join(f"w{i}" for i in range(500))
-    parts = chunking.split_recursive(text, 50, 10, chunking.Meter(chunking.count_tokens))
-    assert {w for p in parts for w in p.split()} == set(text.split())
-    assert all(chunking.count_tokens(p) <= 50 for p in parts)
+def test_equal_chunks_of_a_document_are_marked(spark):
+    got = chunks_of(spark, "# A\n\nsame\n\n# B\n\nother\n\n# C\n\nSame", size=5, least=0, overlap=1)
+    assert [c["is_duplicate"] for c in got] == [False, False, True]
+
+
+def test_group_bounds(spark):
+    text = "a b|c d|e f g h|One two three. Four five six.\nSeven"
+    got = one(spark, chunking.bound_groups(F.split("t", r"[|]"), 6, 3), t=text)
+    assert got == ["a b c d", "e f g h", "One two three. Four five six.", "Seven"]
 
 
 def test_hash_vectors_are_unit_and_stable():
