@@ -52,8 +52,8 @@ def compare_chunkers(spark: SparkSession, sf: str) -> DataFrame:
 
 _PARAGRAPHS = rf"""parts AS (SELECT doc_id, p, i FROM (SELECT doc_id, unnest(ps) AS p,
   generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(
-  string_split_regex(text, '\n{{2,}}'), lambda x: {S.trim('x')}), lambda x: x <> '') AS ps
-  FROM documents))),
+  string_split_regex(CASE WHEN lang = 'fr' THEN text || chr(10) || chr(10) || upper(text) ELSE text END,
+  '\n{{2,}}'), lambda x: {S.trim('x')}), lambda x: x <> '') AS ps FROM documents))),
 para AS (SELECT doc_id, (i - 1)::BIGINT AS seq, p AS content,
   len(regexp_extract_all(p, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{S.WS}]'))::BIGINT AS tokens,
   sha256({S.trim(S.squeeze('lower(nfc_normalize(p))'))}) AS content_hash FROM parts),
@@ -62,7 +62,11 @@ marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content_hash ORDER
 
 
 def marked_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    parts = chunking.paragraph_chunks(documents(spark, sf))
+    """Paragraphs; those of French documents come twice, the second time in capitals."""
+    docs = documents(spark, sf)
+    twice = F.concat("text", F.lit("\n\n"), F.upper("text"))
+    docs = docs.withColumn("text", F.when(F.col("lang") == "fr", twice).otherwise(F.col("text")))
+    parts = chunking.paragraph_chunks(docs)
     parts = parts.withColumn("content_hash", T.normalized_hash("content"))
     return dedupe.duplicate_chunks(parts)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from attestry.functions import text as T
 from attestry.operators import dedupe, ingest
 from attestry.plans import sql as S
 from attestry.plans.registry import registry
-from attestry.session import cut_lineage
+from attestry.session import cut_lineage, ensure_checkpoint_dir
 from attestry.sources import documents as src
 from attestry.sources import tables
 
@@ -267,13 +269,20 @@ _NORM_KEY = S.trim(S.squeeze("lower(nfc_normalize(text))"))
 
 @query(
     "near_duplicates",
+    "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000000, "
+    "'  ' || upper(replace(text, ' ', '   ')) FROM documents WHERE lang = 'fr'), "
+    "n AS (SELECT doc_id, nfc_normalize(text) AS text, sha256(text) AS h FROM d) "
     "SELECT doc_id, n AS near_duplicate_of FROM (SELECT doc_id, "
-    "min(doc_id) OVER (PARTITION BY sha256(text)) AS f, "
-    f"min(doc_id) OVER (PARTITION BY sha256({_NORM_KEY})) AS n FROM documents) "
+    "min(doc_id) OVER (PARTITION BY h) AS f, "
+    f"min(doc_id) OVER (PARTITION BY sha256({_NORM_KEY})) AS n FROM n) "
     "WHERE n < doc_id AND NOT (f < doc_id)",
 )
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text")).select(
+    """Every French document comes once more, in capitals and with wider blanks."""
+    table = src.table(spark, sf, "documents")
+    wide = F.concat(F.lit("  "), F.upper(F.replace(F.col("text"), F.lit(" "), F.lit("   "))))
+    changed = table.where("lang = 'fr'").select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), wide.alias("text"))
+    docs = src.spread(table.select("doc_id", "text").union(changed)).select(
         "doc_id",
         F.sha2("text", 256).alias("checksum"),
         T.normalized_hash("text").alias("normalized_hash"),
@@ -409,3 +418,66 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
         for name, df in kept.items()
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+# --- sinks (S7, S8, S11) ---------------------------------------------------------------------------
+def _workspace(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
+def _line_rows(docs: DataFrame) -> DataFrame:
+    lines = docs.select("doc_id", F.posexplode(T.split_all(F.col("text"), "\n")).alias("seq", "line"))
+    return lines.select("doc_id", "seq", F.sha2("line", 256).alias("line_sha"))
+
+
+_LINES = (
+    "SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT - 1 AS seq FROM "
+    "(SELECT doc_id, string_split({0}, chr(10)) AS ls FROM documents WHERE {1})"
+)
+
+
+@query(
+    "replace_chunks",
+    f"SELECT doc_id, seq, sha256(line) AS line_sha FROM ({_LINES.format('text', "lang NOT IN ('fr', 'es')")} "
+    f"UNION ALL {_LINES.format('upper(text)', "lang = 'fr'")})",
+)
+def replace_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """French documents are chunked again from other texts, Spanish ones to nothing."""
+    docs = src.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    folder = _workspace(spark)
+    tables.write_parts(_line_rows(docs), f"{folder}/parts", "doc_id", 8)
+    again = docs.where("lang IN ('fr', 'es')").select("doc_id")
+    new = _line_rows(docs.where("lang = 'fr'").withColumn("text", F.upper("text")))
+    tables.replace_chunks(new, f"{folder}/parts", f"{folder}/staging", buckets=8, owners=again)
+    return spark.read.parquet(f"{folder}/parts").select("doc_id", "seq", "line_sha")
+
+
+@query(
+    "replace_embeddings",
+    "SELECT vec_id AS chunk_id, 'a' AS model, label FROM embeddings WHERE label >= 5 UNION ALL "
+    "SELECT vec_id, 'a', -label FROM embeddings WHERE label BETWEEN 1 AND 4 UNION ALL "
+    "SELECT vec_id, 'b', label FROM embeddings",
+)
+def replace_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels 1 to 4 get new vectors of one model, label 0 loses its; the other model stays."""
+    rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
+    model = lambda df, m: df.select("chunk_id", F.lit(m).alias("model"), "label")
+    folder = _workspace(spark)
+    tables.write_parts(model(rows, "a").union(model(rows, "b")), f"{folder}/parts", "chunk_id", 8)
+    again = model(rows.where("label < 5"), "a")
+    new = model(rows.where("label BETWEEN 1 AND 4").withColumn("label", -F.col("label")), "a")
+    tables.replace_embeddings(new, f"{folder}/parts", f"{folder}/staging", 8, owners=again)
+    return spark.read.parquet(f"{folder}/parts").select("chunk_id", "model", "label")
+
+
+@query(
+    "write_report",
+    "SELECT lang, source, count(*) AS documents FROM documents GROUP BY ALL",
+)
+def write_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A table as JSON lines, read back with its schema."""
+    rows = src.table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"))
+    folder = _workspace(spark)
+    tables.write_report(rows, f"{folder}/report")
+    return spark.read.schema("lang string, source string, documents long").json(f"{folder}/report")

@@ -6,8 +6,9 @@ of some documents rewrites only their buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 
@@ -59,41 +60,64 @@ def write_parts(df: DataFrame, path: str, owner: str, buckets: int = BUCKETS) ->
     )
 
 
-def _replace(path: str, staging: str, merged: DataFrame) -> None:
-    """Write next to the table first (the plan reads it), then overwrite the touched buckets."""
-    spark = merged.sparkSession
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
+def _replace(path: str, staging: str, merged: DataFrame, touched: DataFrame) -> None:
+    """Write what the touched buckets shall hold next to the table first, since the plan reads it.
+
+    Once both parts of ``staging`` are complete, ``finish_replace`` brings the table to its new
+    state, and may be called again after a failure.
+    """
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{staging}/rows")
+    touched.write.mode("overwrite").parquet(f"{staging}/touched")
+    finish_replace(merged.sparkSession, path, staging, merged.schema)
+
+
+def finish_replace(spark: SparkSession, path: str, staging: str, schema: T.StructType) -> None:
+    """Overwrite the touched buckets from ``staging`` and remove those that are empty now."""
+    rows = spark.read.schema(schema).parquet(f"{staging}/rows")
     (
-        spark.read.parquet(staging)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)
     )
+    touched = spark.read.schema("bucket int").parquet(f"{staging}/touched")
+    emptied = touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most all buckets
+    jvm = spark.sparkContext._jvm
+    for row in emptied:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row['bucket']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _swap(new: DataFrame, gone: DataFrame, path: str, staging: str, owner: str, buckets: int) -> None:
+    """Rows of ``new`` take the place of all rows with a key in ``gone``."""
+    keys = gone.columns
+    touched = with_bucket(gone, owner, buckets).select("bucket").distinct()
+    placed = with_bucket(new, owner, buckets)
+    old = new.sparkSession.read.schema(placed.schema).parquet(path).join(touched, "bucket", "left_semi")
+    kept = old.join(gone, keys, "left_anti").select(*placed.columns)
+    _replace(path, staging, kept.unionByName(placed), touched)
 
 
 def replace_chunks(
-    chunks: DataFrame, path: str, staging: str, owner: str = "doc_id", buckets: int = BUCKETS
+    chunks: DataFrame, path: str, staging: str, owner: str = "doc_id", buckets: int = BUCKETS,
+    owners: DataFrame | None = None,
 ) -> None:
-    """The documents present in ``chunks`` get exactly these rows; others are untouched."""
-    spark = chunks.sparkSession
-    new = with_bucket(chunks, owner, buckets)
-    touched = new.select("bucket").distinct()
-    old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
-    kept = old.join(new.select(owner).distinct(), owner, "left_anti")
-    _replace(path, staging, kept.unionByName(new, allowMissingColumns=True))
+    """The documents in ``owners`` get exactly these rows, or none; others are untouched.
+
+    ``owners`` lists the documents that were chunked again, by default those with chunks.
+    """
+    ids = chunks.select(owner) if owners is None else owners.select(owner).union(chunks.select(owner))
+    _swap(chunks, ids.distinct(), path, staging, owner, buckets)
 
 
 def replace_embeddings(
-    vectors: DataFrame, path: str, staging: str, buckets: int = BUCKETS
+    vectors: DataFrame, path: str, staging: str, buckets: int = BUCKETS, owners: DataFrame | None = None,
 ) -> None:
-    """(chunk_id, model) rows are replaced; other models of the chunk stay."""
-    spark = vectors.sparkSession
-    new = with_bucket(vectors, "chunk_id", buckets)
-    touched = new.select("bucket").distinct()
-    old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
-    kept = old.join(new.select("chunk_id", "model").distinct(), ["chunk_id", "model"], "left_anti")
-    _replace(path, staging, kept.unionByName(new))
+    """(chunk_id, model) rows are replaced, or removed if only ``owners`` has them; other
+    models of the chunk stay."""
+    keys = ["chunk_id", "model"]
+    ids = vectors.select(*keys) if owners is None else owners.select(*keys).union(vectors.select(*keys))
+    _swap(vectors, ids.distinct(), path, staging, "chunk_id", buckets)
 
 
 def write_report(df: DataFrame, path: str) -> None:

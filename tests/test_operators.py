@@ -245,6 +245,11 @@ def test_replace_chunks_keeps_other_documents(spark, tmp_path):
     tables.replace_chunks(base.where("doc_id = 1 and seq = 0").withColumn("content", F.lit("new")), path, staging, buckets=4)
     got = sorted((r.doc_id, r.seq, r.content) for r in spark.read.parquet(path).collect())
     assert got == [(1, 0, "new"), (2, 0, "c")]
+    gone = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    tables.replace_chunks(base.limit(0), path, staging, buckets=4, owners=gone)
+    assert spark.read.schema("doc_id long").parquet(path).count() == 0
+    tables.replace_chunks(base, path, staging, buckets=4)
+    assert spark.read.schema("doc_id long").parquet(path).count() == 3
 
 
 def test_case_files(spark, tmp_path):
