@@ -361,29 +361,33 @@ def register_retriever(name: str, fn: Callable[..., DataFrame]) -> None:
 
 
 def retrieve(
-    runs: dict[str, Callable[[], DataFrame]], strategy: str = "hybrid", k: int = 20, **fusion
+    runs: dict[str, Callable[[], DataFrame]], strategy: str = "hybrid", k: int = 20,
+    queries: DataFrame | None = None, **fusion
 ) -> DataFrame:
     """Run the strategy's sources and fuse them.
 
-    A source that cannot be planned is left out; the call fails only when every source does.
+    A source is one of ``runs``, or else a registered retriever asked with ``queries``; one that
+    is in neither is not part of this search. A source that fails, fails the search by name: a
+    fused answer without it would look whole.
     """
     from attestry.operators.fusion import fuse
 
-    parts, errors = [], []
-    for source in STRATEGY_SOURCES[strategy]:
-        if source not in runs:
+    parts = []
+    sources = STRATEGY_SOURCES.get(strategy, [strategy])
+    for source in sources:
+        if source not in runs and (queries is None or source not in RETRIEVERS):
             continue
         try:
-            run = runs[source]()
-            parts.append(run.select("query_id", "chunk_id", "score", F.lit(source).alias("source")))
-        except Exception as err:  # isolate one source
-            errors.append(err)
+            run = runs[source]() if source in runs else RETRIEVERS[source](queries, k)
+        except Exception as err:
+            raise RuntimeError(f"retrieval source {source} failed") from err
+        parts.append(run.select("query_id", "chunk_id", "score", F.lit(source).alias("source")))
     if not parts:
-        raise RuntimeError(f"no retrieval source worked for {strategy}: {errors}")
+        raise RuntimeError(f"no retrieval source for {strategy}")
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    if len(STRATEGY_SOURCES[strategy]) == 1:
+    if len(sources) == 1:
         return top_k(union, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
     return fuse(union, top=k, **fusion)
 
