@@ -1,8 +1,8 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree of element paths. A path whose presentation (the
-sequence of its children's tags) and content (its text) hardly differ between the host's pages is
-part of the site and not of the article: the entropies of both, over the pages that have the path,
+labels of the elements below it) and content (the text below it) hardly differ between the host's
+pages is part of the site and not of the article: the entropies of both, over the pages that have the path,
 give its importance, which is weighted by the role that its tag, class and id name, since menus and
 adverts may differ from page to page. Branches of low importance are removed from each page; of the
 rest, the article (or else the main part, or else the body) is the text.
@@ -204,13 +204,19 @@ def main_text(html: str | None, gone: frozenset[int] = frozenset()) -> str:
 
 
 def site_nodes(html: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of the page's element paths that a role doesn't settle."""
-    styles: dict[int, list[str]] = {}
-    contents: dict[int, list[str]] = {}
-    for node in below(parse(html)):
-        styles.setdefault(node.path, []).append(" ".join(c.label for c in node.children if isinstance(c, Node)))
-        contents.setdefault(node.path, []).append(" ".join("".join(c for c in node.children if isinstance(c, str)).split()))
-    return [(p, number("|".join(styles[p])), number("|".join(contents[p]))) for p in styles]
+    """(path, presentation, content) of the page's element paths that a role doesn't settle.
+
+    Both are those of the whole branch: the labels of the elements below, and the text below.
+    """
+    nodes = list(below(parse(html)))
+    style, content = {}, {}
+    by_path: dict[int, list[tuple[int, int]]] = {}
+    for node in reversed(nodes):  # children come before their parents
+        own = [c for c in node.children if isinstance(c, str) or not c.site]
+        style[id(node)] = number("|".join(f"{c.label}{style[id(c)]}" for c in own if isinstance(c, Node)))
+        content[id(node)] = number("|".join(" ".join(c.split()) if isinstance(c, str) else str(content[id(c)]) for c in own))
+        by_path.setdefault(node.path, []).append((style[id(node)], content[id(node)]))
+    return [(p, number(str([s for s, _ in found])), number(str([c for _, c in found]))) for p, found in by_path.items()]
 
 
 def entropy(nodes: DataFrame, column: str) -> DataFrame:
