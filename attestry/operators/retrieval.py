@@ -47,6 +47,17 @@ def apply_filters(
     return df
 
 
+def searchable(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, model: str) -> DataFrame:
+    """Vectors of ``model`` whose chunk belongs to a document with status COMPLETED.
+
+    Both predicates reach the scans, before vectors are packed; ``chunks`` has chunk_id and
+    doc_id, ``documents`` doc_id, status and what filters need.
+    """
+    done = documents.where(F.col("status") == "COMPLETED").drop("status")
+    own = vectors.where(F.col("model") == model).drop("model")
+    return own.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(done, "doc_id")
+
+
 def apply_query_filters(hits: DataFrame, allowed: DataFrame, on: list[str]) -> DataFrame:
     """R3 when each query has its own allow-list: a semi-join on (query, id)."""
     return hits.join(allowed, on, "left_semi")

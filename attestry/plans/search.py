@@ -94,6 +94,53 @@ def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "rank", "score")
 
 
+_DONE = (
+    "vec_id IN (SELECT e.vec_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id "
+    "WHERE e.label < 7 AND d.lang <> 'es'{0})"
+)
+
+
+def completed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels below 7 have one model, the others another; Spanish documents were rejected."""
+    table = src.table(spark, sf, "embeddings")
+    own = table.select(
+        F.col("vec_id").alias("chunk_id"), "embedding", F.when(F.col("label") < 7, "a").otherwise("b").alias("model")
+    )
+    parts = table.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"))
+    docs = src.table(spark, sf, "documents").select(
+        "doc_id", "source", "lang", F.when(F.col("lang") == "es", "REJECTED").otherwise("COMPLETED").alias("status")
+    )
+    return retrieval.searchable(own, parts, docs, "a")
+
+
+@query(
+    "vector_topk_completed",
+    f"WITH {_query_cte()}, {_vector_ctes('cosine', 20, where=_DONE.format(''))} "
+    "SELECT query_id, chunk_id, rank, score FROM hits",
+)
+def vector_topk_completed(spark: SparkSession, sf: str) -> DataFrame:
+    """One model's vectors of completed documents only."""
+    hits = retrieval.vector_topk(label_queries(spark, sf), completed_vectors(spark, sf), 20)
+    return hits.select("query_id", "chunk_id", "rank", "score")
+
+
+@query(
+    "vector_topk_sources",
+    f"WITH {_query_cte()}, "
+    + _vector_ctes("cosine", 20, where=_DONE.format(
+        " AND d.source IN ('src1', 'src2', 'src3') AND d.doc_id IN (1, 2, 3, 21, 22, 23, 41, 42, 43, 61, 62, 63) AND d.lang = 'en'"))
+    + " SELECT query_id, chunk_id, rank, score FROM hits",
+)
+def vector_topk_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 in full: an id list, a source list and a metadata key together."""
+    ids = [1, 2, 3, 21, 22, 23, 41, 42, 43, 61, 62, 63]
+    allowed = retrieval.apply_filters(
+        completed_vectors(spark, sf), ids, ["src1", "src2", "src3"], {"lang": "en"}
+    )
+    hits = retrieval.vector_topk(label_queries(spark, sf), allowed, 20)
+    return hits.select("query_id", "chunk_id", "rank", "score")
+
+
 @query("vector_topk_ann")
 def vector_topk_ann(spark: SparkSession, sf: str) -> DataFrame:
     """R2 with its recall against R1."""
