@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,12 +36,14 @@ from attestry.llm.common import staged
 from attestry.llm.components import components
 
 WORDS = 5
-FREQUENT_SHARE = 0.0005
-FREQUENT_LEAST = 50
-FREQUENT_MOST = 65_536
+FREQUENT_LEAST = 8
+FREQUENT_MOST = 131_072
 SPREAD = 1.3
 SMALL = 16
 STEP = 8
+BLOCKED = 64
+BLOCK = 256
+CHUNK = 16_384
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -167,7 +170,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         if own:
             feature, df = np.unique(np.concatenate(list(own.values())), return_counts=True)
-            often = df >= max(4, FREQUENT_SHARE * len(own) / 2)
+            often = df >= 2
             m = int(often.sum())
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -223,6 +226,89 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that aren't in one component."""
+    bucket = W.partitionBy("sig")
+    rooted = members.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
+    return staged(ends.filter("low < high").drop("low", "high"))
+
+
+def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what large buckets hold, up to links that others of them imply.
+
+    Buckets that overlap are one group, so that the same nodes in a hundred of them are compared
+    once. A group's nodes are dealt over blocks of about ``BLOCK`` sets, and a task compares two
+    blocks by products of their feature matrices. No pairs are written but a spanning forest.
+    """
+    leads = members.groupBy("sig").agg(F.min("node").alias("lead"))
+    edges = members.select("sig", "node").join(leads, "sig").select("node", "lead").distinct()
+    groups = components(edges, "node", "lead").withColumnRenamed("root", "g")
+    sizes = groups.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    roots = members.select("node", "root").distinct()
+    placed = (
+        groups.join(sizes, "g").join(roots, "node").join(sets, "node")
+        .select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "root", "f")
+    )
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        head = frame[["g", "block"]].iloc[:1].reset_index(drop=True)
+        return head.assign(
+            nodes=[frame["node"].to_numpy("<i8").tobytes()], roots=[frame["root"].to_numpy("<i8").tobytes()],
+            sizes=[frame["f"].map(len).to_numpy("<i8").tobytes()],
+            features=[np.concatenate(frame["f"].to_list()).astype("<i8").tobytes()],
+        )
+
+    columns = ["nodes", "roots", "sizes", "features"]
+    packed = staged(placed.groupBy("g", "block").applyInPandas(
+        pack, "g long, block int, nodes binary, roots binary, sizes binary, features binary"
+    ))
+    other = packed.select("g", F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    pairs = packed.join(other, "g").filter("block <= block_b")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame.iloc[0]
+        a = [np.frombuffer(r[c], "<i8") for c in columns]
+        b = [np.frombuffer(r[f"{c}_b"], "<i8") for c in columns]
+        i, j = np.nonzero(similar_rows(a[2], a[3], b[2], b[3]) & (a[1][:, None] != b[1][None, :]))
+        names, at = np.unique(np.r_[a[1][i], b[1][j]], return_inverse=True)
+        keep = forest_edges(at[: len(i)], at[len(i) :], len(names))
+        return pd.DataFrame({"a": a[0][i[keep]], "b": b[0][j[keep]]})
+
+    return pairs.groupBy("g", "block", "block_b").applyInPandas(compare, "a long, b long")
+
+
+def similar_rows(sizes_a: np.ndarray, flat_a: np.ndarray, sizes_b: np.ndarray, flat_b: np.ndarray) -> np.ndarray:
+    """Boolean matrix of the sets, given one after the other, that have 100 * s >= 80 * union."""
+    common = np.intersect1d(flat_a, flat_b)
+    owners = [np.repeat(np.arange(len(s)), s) for s in (sizes_a, sizes_b)]
+    shared = np.zeros((len(sizes_a), len(sizes_b)))
+    for start in range(0, len(common), CHUNK):
+        part, sides = common[start : start + CHUNK], []
+        for flat, owner, n in ((flat_a, owners[0], len(sizes_a)), (flat_b, owners[1], len(sizes_b))):
+            spot = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[spot] == flat
+            side = np.zeros((n, len(part)), dtype=np.float32)
+            side[owner[hit], spot[hit]] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    return 100 * shared >= 80 * (sizes_a[:, None] + sizes_b[None, :] - shared)
+
+
+def forest_edges(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of edges that make a spanning forest of the graph on 0..n-1."""
+    up, kept = list(range(n)), []
+    for place, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(place)
+    return np.array(kept, dtype=np.int64)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles and component_id of every row of ``docs``.
 
@@ -237,10 +323,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         _describe, "doc_id long, text_hash long, n long, node long, feature long, df long"
     ))
     rows = described.filter("feature IS NULL").select("doc_id", "text_hash", "n", "node")
-    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * rows.count()))
     often = (
         described.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("df").alias("df"))
-        .filter(F.col("df") >= least).orderBy(F.desc("df"), "feature").limit(FREQUENT_MOST).select("feature").toArrow()
+        .filter(F.col("df") >= FREQUENT_LEAST).orderBy(F.desc("df"), "feature").limit(FREQUENT_MOST).select("feature").toArrow()
     )  # leaving some out, or too many in, changes the cost and not the result
     frequent = np.sort(np.asarray(often["feature"], dtype=np.int64).view(np.uint64))
 
@@ -250,8 +335,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         signed.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
         .filter("low < high").select("sig", "node").distinct()
     )
-    ranked = buckets.withColumn("k", F.row_number().over(bucket.orderBy("node"))).withColumn("m", F.count(F.lit(1)).over(bucket))
-    open_ = staged(ranked)
+    # A set that shares most with others, such as the text that copies were made from, goes first.
+    counted = buckets.withColumn("m", F.count(F.lit(1)).over(bucket))
+    scores = counted.groupBy("node").agg(F.sum(F.col("m") - 1).alias("score"))
+    order = bucket.orderBy(F.desc("score"), "node")
+    open_ = staged(
+        counted.join(scores, "node").withColumn("k", F.row_number().over(order))
+        .withColumn("first", F.first(F.struct("score", "node")).over(order))
+    )
 
     wanted = open_.select("node").distinct()
     chosen = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
@@ -259,33 +350,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("text_hash") == F.col("rh")))
     sets = staged(texts.select("node", "text").mapInArrow(_features, "node long, f array<long>").dropDuplicates(["node"]))
 
-    # Each round tests the next members of the buckets, STEP times as many as before, against those
-    # after them; a pair in one component is settled. Without new links the components stand.
-    open_ = open_.withColumn("root", F.col("node"))
-    links, tested, linked, first, last = None, None, None, 1, 1
-    while True:
+    # First every node meets the best of all its buckets' first members.
+    best = open_.filter("k > 1").groupBy("node").agg(F.max("first").alias("best"))
+    tested = staged(best.select(F.col("best.node").alias("a"), F.col("node").alias("b")))
+    links = staged(_verified(tested, sets))
+    linked = components(links, "a", "b")
+    open_ = _unsettled(open_.drop("first"), linked)
+
+    # Then each bucket that isn't in one component tests its first member, then STEP times as many
+    # and so on, against those after them. After the first, large buckets are compared in blocks.
+    first, last = 1, 1
+    while not open_.isEmpty():
         low = open_.filter(F.col("k").between(first, last)).select(
             "sig", F.col("node").alias("a"), F.col("k").alias("ka"), F.col("root").alias("ra")
         )
         high = open_.select("sig", F.col("node").alias("b"), F.col("k").alias("kb"), F.col("root").alias("rb"))
         pairs = low.join(high, "sig").filter("ka < kb AND ra <> rb").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
         found = staged(_verified(pairs, sets))
-        if linked is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            links = links.union(found)
             linked = components(links, "a", "b")
+        if first == 1:
+            large = _unsettled(open_.filter(F.col("m") > BLOCKED), linked)
+            if not large.isEmpty():
+                links = links.union(staged(_block_links(large, sets)))
+                linked = components(links, "a", "b")
+            open_ = open_.filter(F.col("m") <= BLOCKED)
         first, last = last + 1, last + STEP * (last - first + 1)
-        left = open_.filter(F.col("m") >= first + 1).drop("root").join(linked, "node", "left")
-        left = left.withColumn("root", F.coalesce("root", "node"))
-        open_ = staged(
-            left.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket))
-            .filter("low < high").drop("low", "high")
-        )
-        if open_.isEmpty():
-            break
+        open_ = _unsettled(open_.filter(F.col("m") >= first + 1), linked)
 
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"))
     nodes = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
