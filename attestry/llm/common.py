@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from attestry.session import ensure_checkpoint_dir
 
 
+#: Folders of the operators' inner tables, in the order they were made.
+STAGE_FOLDERS: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -34,13 +38,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a Parquet stage table in the shared folder and read it from there."""
+def handed_over(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a Parquet table in the shared folder and read it from there."""
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """As ``handed_over``, for the inner tables of an operator, which ``delete_folders`` may end early."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    STAGE_FOLDERS.append(folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete inner tables; only once what was made from them is written or not needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],

@@ -132,9 +132,9 @@ def fit_rates(described: DataFrame, mixer: Mixer, weights: dict[str, float], bud
     ``weights`` are the wanted shares of the domains, scaled to sum 1 over those that were
     learned; ``budget`` is the wanted total in units of all tokens, by default 1, or, if every
     document is to be read at least once (``least`` = 1), what the domain that is most over its
-    share then needs and a twentieth for what the others carry into it. ``tolerance`` is relative
-    to the domain's present total. Steps also end when they no longer move the totals: the target then lies
-    outside what rates can reach, and the result is the least-squares one.
+    share then needs and 15 % for what the others carry into it. ``tolerance`` is relative
+    to the domain's present total. Steps also end when they move no total by half of that: the target then
+    lies outside what rates can reach, and the result is near the least-squares one.
     """
     wanted = [max(0.0, float(weights.get(d, 0.0))) for d in mixer.domains]
     if not mixer.domains or sum(wanted) <= 0:
@@ -158,7 +158,7 @@ def fit_rates(described: DataFrame, mixer: Mixer, weights: dict[str, float], bud
     start = expected(Mixer(mixer.domains, mixer.prior, mixer.likelihood))
     sizes = [s if s > 0 else 1.0 for s in start]
     if budget is None:
-        budget = 1.05 * max(s / w for s, w in zip(start, wanted) if w > 0) if least >= 1 else 1.0
+        budget = 1.15 * max(s / w for s, w in zip(start, wanted) if w > 0) if least >= 1 else 1.0
     target = tuple(budget * w for w in wanted)
     totals = start if least <= 1 else expected(now)
     for _ in range(steps):
@@ -167,7 +167,7 @@ def fit_rates(described: DataFrame, mixer: Mixer, weights: dict[str, float], bud
         before, totals = totals, expected(now)
         near = max(abs(a - b) / size for a, b, size in zip(totals, target, sizes))
         moved = max(abs(a - b) / size for a, b, size in zip(totals, before, sizes))
-        if near <= tolerance or moved < tolerance / 50:
+        if near <= tolerance or moved < tolerance / 2:
             break
     return Mixer(now.domains, now.prior, now.likelihood, least, now.pull, now.residuals, totals, target)
 

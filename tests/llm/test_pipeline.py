@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestry.llm import queries
-from attestry.llm.common import staged
+from attestry.llm.common import handed_over
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -33,7 +33,7 @@ def test_stages_take_effect_and_keep_clean_rows(spark):
     docs = docs.unionByName(planted, allowMissingColumns=True).withColumn("kept", F.lit(1))
     ids, columns = {}, docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = staged(stage(spark, docs, SF))
+        docs = handed_over(stage(spark, docs, SF))
         ids[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
         if stage is not corpus_pipeline.tokenise:
             assert docs.columns == columns
@@ -47,5 +47,5 @@ def test_stages_take_effect_and_keep_clean_rows(spark):
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = staged(stage(spark, docs, SF))
+        docs = handed_over(stage(spark, docs, SF))
     assert docs.count() == 0
