@@ -9,6 +9,11 @@ that steps of that length are safe, and small domains move as fast as large ones
 many times a document should be read; the whole part is certain, the rest is drawn by a hash of
 its id.
 
+Steps that don't soon bring the totals to the target are given up for the optimum itself: with a
+pull towards 1 it is  r_i = max(least, 1 - p_i l)  for K numbers l, the minimum of a convex and
+piecewise quadratic function that Newton steps reach in a few aggregates. The pull is divided by ten
+until the target is met or no rate can improve the squares (the projected gradient is near 0).
+
 Documents with the same bins have the same posterior and so the same rate all along, which makes
 one step an aggregate over the few distinct bins. The steps of all iterations are kept as K
 numbers each, and a document's rate is a fold over them. Only DataFrame functions are used.
@@ -16,9 +21,11 @@ numbers each, and a document's rate is a fold over them. Only DataFrame function
 
 from __future__ import annotations
 
+import logging
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,13 @@ from attestry.llm.common import staged
 BINS = 16
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Gradient steps go on while each leaves at most this share of the distance to the target.
+STEADY = 0.8
+#: Lengths of a Newton step that one aggregate tries.
+LENGTHS = (1.0, 0.3, 0.05)
+
+log = logging.getLogger(__name__)
+
 
 def _scale(share: Column) -> Column:
     """Bins of a share in 0..1, finer near 0: 0 for none, then by powers of two."""
@@ -60,16 +74,22 @@ def properties(text: Column) -> tuple[Column, list[Column]]:
 
 @dataclass
 class Mixer:
-    """Domains, their log priors and log likelihoods, and the residuals of the gradient steps."""
+    """Domains, their log priors and log likelihoods, and the residuals of the gradient steps.
+
+    ``dual`` holds the optimum's numbers where steps were given up for it. ``gap`` is the largest
+    distance of a total from its target, relative to the domain's present total.
+    """
 
     domains: list[str]
     prior: list[float]
     likelihood: list[list[list[float]]]  # by domain, property and bin
     least: float = 0.0
-    pull: float = 1e-3
+    pull: float = 1e-4
     residuals: tuple[tuple[float, ...], ...] = ()
     totals: tuple[float, ...] = ()
     target: tuple[float, ...] = ()
+    dual: tuple[float, ...] = ()
+    gap: float = 0.0
 
     def posterior(self, bins: Column) -> Column:
         """array<double> of the domains' probabilities, in the order of their names."""
@@ -84,7 +104,9 @@ class Mixer:
         return F.transform(parts, lambda e: e / F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
 
     def rate(self, posterior: Column) -> Column:
-        """The rate after all steps so far."""
+        """The rate after all steps so far, or the optimum's."""
+        if self.dual:
+            return F.greatest(F.lit(float(self.least)), 1.0 - _dot(posterior, self.dual))
         if not self.residuals:
             return F.greatest(F.lit(1.0), F.lit(float(self.least)))
         step = 1.0 / (1.0 + self.pull)
@@ -97,6 +119,10 @@ class Mixer:
         return F.aggregate(moves, F.lit(1.0), move)
 
 
+def _dot(posterior: Column, numbers: tuple[float, ...]) -> Column:
+    return sum((posterior[d] * F.lit(float(x)) for d, x in enumerate(numbers)), F.lit(0.0))
+
+
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stage table of (doc_id, tokens, bins): all that is read of the texts, once."""
     tokens, bins = properties(F.col(text_col))
@@ -127,14 +153,15 @@ def count_domains(described: DataFrame, labels: DataFrame, domain: Column, id_co
 
 def fit_rates(described: DataFrame, mixer: Mixer, weights: dict[str, float], budget: float | None = None,
               least: float = 0.0, steps: int = 200, tolerance: float = 1e-3) -> Mixer:
-    """Projected gradient descent until every domain's expected total is within ``tolerance``.
+    """Rates that bring every domain's expected total within ``tolerance``, or else as near as any can.
 
     ``weights`` are the wanted shares of the domains, scaled to sum 1 over those that were
     learned; ``budget`` is the wanted total in units of all tokens, by default 1, or, if every
     document is to be read at least once (``least`` = 1), what the domain that is most over its
     share then needs and 15 % for what the others carry into it. ``tolerance`` is relative
-    to the domain's present total. Steps also end when they move no total by half of that: the target then
-    lies outside what rates can reach, and the result is near the least-squares one.
+    to the domain's present total. If projected gradient steps (``steps`` at most) don't get there
+    quickly, ``_optimum`` is taken; a default budget with ``least`` >= 1 is then what the shares
+    need. The gap that remains is the result's ``gap``, and logged where above ``tolerance``.
     """
     wanted = [max(0.0, float(weights.get(d, 0.0))) for d in mixer.domains]
     if not mixer.domains or sum(wanted) <= 0:
@@ -157,19 +184,97 @@ def fit_rates(described: DataFrame, mixer: Mixer, weights: dict[str, float], bud
     now = Mixer(mixer.domains, mixer.prior, mixer.likelihood, least)
     start = expected(Mixer(mixer.domains, mixer.prior, mixer.likelihood))
     sizes = [s if s > 0 else 1.0 for s in start]
+    free = budget is None and least >= 1
     if budget is None:
         budget = 1.15 * max(s / w for s, w in zip(start, wanted) if w > 0) if least >= 1 else 1.0
     target = tuple(budget * w for w in wanted)
     totals = start if least <= 1 else expected(now)
+
+    def distance(totals: tuple[float, ...]) -> float:
+        return max(abs(a - b) / size for a, b, size in zip(totals, target, sizes))
+
+    near = distance(totals)
     for _ in range(steps):
         residual = tuple((a - b) / size for a, b, size in zip(totals, target, sizes))
-        now = Mixer(now.domains, now.prior, now.likelihood, least, now.pull, (*now.residuals, residual), totals, target)
-        before, totals = totals, expected(now)
-        near = max(abs(a - b) / size for a, b, size in zip(totals, target, sizes))
-        moved = max(abs(a - b) / size for a, b, size in zip(totals, before, sizes))
-        if near <= tolerance or moved < tolerance / 2:
+        now = replace(now, residuals=(*now.residuals, residual))
+        totals = expected(now)
+        before, near = near, distance(totals)
+        if near <= tolerance or near > STEADY * before:
+            break
+    if near <= tolerance:
+        return replace(now, totals=totals, target=target, gap=near)
+    return _optimum(profiles, total, replace(now, residuals=(), target=target), sizes, wanted, free, tolerance)
+
+
+def _optimum(profiles: DataFrame, total: float, now: Mixer, sizes: list[float], wanted: list[float],
+             free: bool, tolerance: float) -> Mixer:
+    """The least-squares rates nearest to 1, to a projected gradient of ``tolerance`` / 50 or the target.
+
+    For a pull e the rates are  max(least, 1 - p_i l),  and l is where the gradient
+    e s l + target - totals  of the dual function is 0. If the budget is ``free``, the target is
+    any multiple of ``wanted``, which adds the condition  wanted l = 0.
+    """
+    k, least, pull = len(sizes), float(now.least), now.pull
+    share = F.col("tokens") / float(total)
+    p = [F.col("posterior")[d] for d in range(k)]
+    s, w, b = np.array(sizes), np.array(wanted), np.zeros(k) if free else np.array(now.target)
+
+    def look(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
+        """For each l: the dual sum, the totals, their change with l, and the squares of free rates' moves."""
+        sums = []
+        for l in tries:
+            slope = _dot(F.col("posterior"), tuple(l))
+            rate = F.greatest(F.lit(least), 1.0 - slope)
+            loose = (1.0 - slope) > least
+            sums.append(F.sum(share * (0.5 * (rate - 1.0) * (rate - 1.0) + rate * slope)))
+            sums += [F.sum(share * rate * x) for x in p]
+            sums += [F.sum(F.when(loose, share * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
+            sums.append(F.sum(F.when(loose | (slope < 0), share * slope * slope).otherwise(0.0)))
+        row = [float(x) for x in profiles.agg(*[c.alias(f"c{i}") for i, c in enumerate(sums)]).first()]
+        out, width = [], len(row) // len(tries)
+        for at in range(0, len(row), width):
+            part = row[at : at + width]
+            bend = np.zeros((k, k))
+            bend[np.triu_indices(k)] = part[1 + k : -1]
+            out.append((part[0], np.array(part[1 : 1 + k]), bend + np.triu(bend, 1).T, part[-1]))
+        return out
+
+    def value(l: np.ndarray, dual_sum: float) -> float:
+        return 0.5 * pull * float(s @ (l * l)) + float(b @ l) - dual_sum
+
+    at = np.zeros(k)
+    seen = look([at])[0]
+    while True:
+        while True:
+            dual_sum, totals, bend, moves = seen
+            gradient = pull * s * at + b - totals
+            system, right = np.diag(pull * s) + bend, -gradient
+            if free:
+                system = np.block([[system, w[:, None]], [w[None, :], np.zeros((1, 1))]])
+                right = np.append(right, -(w @ at))
+            answer = np.linalg.solve(system, right)
+            move, target = answer[:k], answer[k] * w if free else b
+            left = np.abs(gradient + (target if free else 0.0)) / s
+            if left.max() <= tolerance / 50:
+                break
+            fall, length, now_value, found = float(gradient @ move), 1.0, value(at, dual_sum), None
+            while found is None and length > 1e-9:
+                tries = [at + length * x * move for x in LENGTHS]
+                for x, l, got in zip(LENGTHS, tries, look(tries)):
+                    if found is None and value(l, got[0]) <= now_value + 1e-4 * length * x * fall:
+                        found = l, got
+                length *= LENGTHS[-1] / 4
+            if found is None:  # no length improves it in double precision
+                break
+            at, seen = found
+        gap = float((np.abs(totals - target) / s).max())
+        if gap <= tolerance or pull * math.sqrt(moves) <= tolerance / 50:
             break
-    return Mixer(now.domains, now.prior, now.likelihood, least, now.pull, now.residuals, totals, target)
+        pull /= 10
+    if gap > tolerance:
+        log.warning("mixing: the target lies outside what rates can reach; largest relative gap %.4f", gap)
+    return replace(now, pull=pull, totals=tuple(map(float, totals)), target=tuple(map(float, target)),
+                   dual=tuple(map(float, at)), gap=gap)
 
 
 def copies(rate: Column, key: Column, seed: int) -> Column:

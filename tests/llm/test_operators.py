@@ -487,6 +487,34 @@ def test_mixing_against_numpy(spark):
         assert np.allclose(shares / shares.sum(), [0.3, 0.7], atol=5e-3)
 
 
+def middling(spark):
+    """Documents of posteriors 0.6 and 0.4, and their mixer."""
+    mixer = mixing.Mixer(["a", "b"], [np.log(0.5)] * 2, [[[np.log(0.6), np.log(0.4)]], [[np.log(0.4), np.log(0.6)]]])
+    rows = [(i, 10 + i % 3, [i % 2]) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, bins array<int>"), mixer
+
+
+@pytest.mark.parametrize("least,share", [(0.0, 0.55), (0.0, 0.58), (1.0, 0.58)])
+def test_middling_posteriors_reach_what_can_be_reached(spark, least, share):
+    described, mixer = middling(spark)
+    fitted = mixing.fit_rates(described, mixer, {"a": share, "b": 1 - share}, least=least)
+    rows = mixing._rated(described, fitted).collect()
+    totals = sum(r["tokens"] * r["rate"] * np.array(r["posterior"]) for r in rows) / sum(r["tokens"] for r in rows)
+    assert np.allclose(totals, fitted.target, atol=1e-3) and fitted.gap <= 1e-3 and min(r["rate"] for r in rows) >= least
+    assert np.allclose(totals / totals.sum(), [share, 1 - share], atol=1e-3)
+
+
+def test_unreachable_target_gives_least_squares(spark, caplog):
+    described, mixer = middling(spark)
+    fitted = mixing.fit_rates(described, mixer, {"a": 0.9, "b": 0.1})
+    tokens = np.array([sum(r["tokens"] for r in described.collect() if r["bins"][0] == b) for b in (0, 1)], dtype=float)
+    p, share = np.array([[0.6, 0.4], [0.4, 0.6]]), tokens / tokens.sum()
+    start, rate = share @ p, np.ones(2)
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - p @ ((share * rate @ p - [0.9, 0.1]) / start))
+    assert np.allclose(fitted.totals, share * rate @ p, atol=1e-3) and fitted.gap > 0.3 and "gap" in caplog.text
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 1), (8, 0), (None, 1), (5, None)], "doc_id long, quality int")
     got = mixing.mix(odd, labels, F.col("quality"), {"1": 1.0, "0": 1.0}).collect()
