@@ -4,8 +4,9 @@ The pages of a host are merged into one tree of element paths. A path whose pres
 labels of the elements below it) and content (the text below it) hardly differ between the host's
 pages is part of the site and not of the article: the entropies of both, over the pages that have the path,
 give its importance, which is weighted by the role that its tag, class and id name, since menus and
-adverts may differ from page to page. Branches of low importance are removed from each page; of the
-rest, the article (or else the main part, or else the body) is the text.
+adverts may differ from page to page. Blocks of low importance are removed from each page, but none
+within an article or main part; of the rest, the article (or else the main part, or else the body) is the
+text. Pages of a host with the same article count once, so that it doesn't seem to be part of the site.
 
 The tree exists as counts by (host, path): a host with a third of all pages is many partial counts.
 """
@@ -79,6 +80,10 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+#: The path of every page's root.
+ROOT = number("0>html")
+
+
 class Builder(HTMLParser):
     """A tree from tag soup: void elements, implied ends and stray end tags as browsers take them."""
 
@@ -151,12 +156,17 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def pruned(node: Node, gone: frozenset[int]) -> bool:
+    """Whether the tree removes the node: only blocks, and none of an article or main part."""
+    return node.path in gone and not node.article and node.tag in BLOCKS and node.parent is not None
+
+
 def below(root: Node, gone: frozenset[int] = frozenset()) -> Iterator[Node]:
     """Elements that may hold article text, in page order; not below site or removed branches."""
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.site or (node.path in gone and node.tag not in ("article", "main", "html")):
+        if node.site or pruned(node, gone):
             continue
         yield node
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
@@ -180,7 +190,7 @@ def blocks(root: Node, gone: frozenset[int]) -> list[str]:
             flush()
         elif isinstance(item, str):
             held.append(item)
-        elif item.site or (item is not root and item.path in gone and item.tag not in ("article", "main")):
+        elif item.site or (item is not root and pruned(item, gone)):
             if item.tag in BLOCKS:
                 flush()
         else:
@@ -194,21 +204,26 @@ def blocks(root: Node, gone: frozenset[int]) -> list[str]:
     return out
 
 
+def parts(nodes: list[Node]) -> list[Node]:
+    """The article elements, or else the main part; none if the page names neither."""
+    found = [n for n in nodes if n.tag == "article" and not n.nested]
+    return found or [n for n in nodes if n.article and not n.parent.article]
+
+
 def main_text(html: str | None, gone: frozenset[int] = frozenset()) -> str:
     """The article of the page: article elements, or else the main part, or else the whole body."""
     root = parse(html)
-    nodes = list(below(root, gone))
-    found = [n for n in nodes if n.tag == "article" and not n.nested]
-    found = found or [n for n in nodes if n.article and not n.parent.article] or [root]
-    return " ".join(t for n in found for t in blocks(n, gone))
+    return " ".join(t for n in parts(list(below(root, gone))) or [root] for t in blocks(n, gone))
 
 
-def site_nodes(html: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of the page's element paths that a role doesn't settle.
+def site_nodes(html: str | None) -> tuple[int | None, list[tuple[int, int, int]]]:
+    """The article's number, and (path, presentation, content) of the element paths that a role doesn't settle.
 
-    Both are those of the whole branch: the labels of the elements below, and the text below.
+    Both are those of the whole branch: the labels of the elements below, and the text below. A page
+    that names no article or main part, or an empty one, has no number.
     """
     nodes = list(below(parse(html)))
+    article = "|".join(t for n in parts(nodes) for t in blocks(n, frozenset()))
     style, content = {}, {}
     by_path: dict[int, list[tuple[int, int]]] = {}
     for node in reversed(nodes):  # children come before their parents
@@ -216,7 +231,8 @@ def site_nodes(html: str | None) -> list[tuple[int, int, int]]:
         style[id(node)] = number("|".join(f"{c.label}{style[id(c)]}" for c in own if isinstance(c, Node)))
         content[id(node)] = number("|".join(" ".join(c.split()) if isinstance(c, str) else str(content[id(c)]) for c in own))
         by_path.setdefault(node.path, []).append((style[id(node)], content[id(node)]))
-    return [(p, number(str([s for s, _ in found])), number(str([c for _, c in found]))) for p, found in by_path.items()]
+    rows = [(p, number(str([s for s, _ in found])), number(str([c for _, c in found]))) for p, found in by_path.items()]
+    return number(article) if article else None, rows
 
 
 def entropy(nodes: DataFrame, column: str) -> DataFrame:
@@ -238,8 +254,9 @@ def importance(nodes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    A path is removed from a host's pages if at least ``least_pages`` of its distinct pages have it
-    and its importance is below ``least_importance``; article and main elements stay. Pages
+    A block's path is removed from a host's pages if at least ``least_pages`` of its distinct pages have it
+    and its importance is below ``least_importance``; article and main parts stay whole. Pages of a host
+    that name an article or main part of the same text are one page there (that of the least hash). Pages
     without a host in their url, or of smaller sites, are judged by roles alone. A null or empty
     html gives the empty text; equal pages count once in the tree; repeated rows are repeated; an
     empty table gives no rows; other columns aren't read.
@@ -250,13 +267,18 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance:
     node = T.StructType([T.StructField(n, T.LongType()) for n in ("path", "style", "content")])
 
     def listed(batch: pa.RecordBatch) -> list:
-        lists = [[{"path": p, "style": s, "content": c} for p, s, c in site_nodes(h.as_py())] for h in batch.column(2)]
-        return [pa.array(lists, pa.list_(pa.struct([(n, pa.int64()) for n in ("path", "style", "content")])))]
+        found = [site_nodes(h.as_py()) for h in batch.column(2)]
+        lists = [[{"path": p, "style": s, "content": c} for p, s, c in rows] for _, rows in found]
+        node_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("path", "style", "content")]))
+        return [pa.array([a for a, _ in found], pa.int64()), pa.array(lists, node_type)]
 
     with_host = slim.filter("host <> ''").select("host", "page", "html")
-    nodes = append_columns(with_host, [T.StructField("nodes", T.ArrayType(node))], listed, drop=("html",))
-    nodes = staged(nodes.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*").distinct())
-    low = importance(nodes).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    nodes = append_columns(with_host, [T.StructField("article", T.LongType()), T.StructField("nodes", T.ArrayType(node))], listed, drop=("html",))
+    nodes = staged(nodes.select("host", "page", "article", F.explode("nodes").alias("n")).select("host", "page", "article", "n.*").distinct())
+    named = nodes.filter(F.col("article").isNotNull() & (F.col("path") == ROOT)).select("host", "page", "article")
+    firsts = named.groupBy("host", "article").agg(F.min("page").alias("page")).select("page")
+    again = named.select("page").join(firsts, "page", "left_anti")
+    low = importance(nodes.join(again, "page", "left_anti")).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
     gone = nodes.join(low.select("host", "path"), ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("gone"))
 
     def text(batch: pa.RecordBatch) -> list:

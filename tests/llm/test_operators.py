@@ -245,6 +245,17 @@ def test_site_tree_removes_what_repeats(spark):
     assert site_tree.extract(empty).count() == 0
 
 
+def test_site_tree_keeps_whole_articles(spark):
+    recipe = "<article><h2>Ingredients</h2><p><strong>Note:</strong> d{0}<br>e{0}</p></article>"
+    rows = [(i, "https://recipes.example/", "<div class=box>Read more</div>" + recipe.format(i)) for i in range(20)]
+    rows += [(100 + i, "https://plain.example/", f"<div>Read more</div><p>d{i}<br>e{i} <b>Note</b></p>") for i in range(20)]
+    rows += [(200 + i, "https://one.example/", f"<section><article>same</article></section><p>{i}</p>") for i in range(100)]
+    rows += [(300 + i, "https://one.example/", f"<section><article>other {i}</article></section><p>{i}</p>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Ingredients Note: d{i} e{i}" and got[100 + i] == f"d{i} e{i} Note" for i in range(20))
+    assert all(got[200 + i] == "same" for i in range(100)) and all(got[300 + i] == f"other {i}" for i in range(9))
+
+
 # n-gram Jaccard join
 
 
