@@ -50,8 +50,8 @@ P_SCOPE = frozenset("article aside body button caption div fieldset figure foote
 
 # Tags that never hold an article's text, and names of classes, ids and roles that say so.
 SITE_TAGS = frozenset(
-    "aside audio button canvas dialog embed footer form head iframe input label map math menu nav noscript object "
-    "option script select style svg template textarea title video".split()
+    "annotation annotation-xml aside audio button canvas dialog embed footer form head iframe input map menu nav noscript "
+    "object option script select style svg template textarea title video".split()
 )
 SITE_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments "
@@ -61,18 +61,23 @@ SITE_NAMES = frozenset(
     "skip social sponsor sponsored subscribe subscription toolbar".split()
 )
 HEAD_NAMES = frozenset(["header"])
+STATE_NAMES = frozenset("has hide is no not show with without".split())
+# How surely an element's own tag, class, id and role make its branch a part of the site.
+BY_WORD, BY_NAME, BY_TAG = 1, 2, 3
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
     """An element: its label, path number, parent, and children (elements and texts in order)."""
 
-    __slots__ = ("tag", "label", "path", "children", "parent", "site", "article", "nested")
+    __slots__ = ("tag", "label", "path", "children", "parent", "mark", "site", "article", "nested", "inside")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, site: bool, article: bool):
-        self.tag, self.label, self.parent, self.site, self.article = tag, label, parent, site, article
+    def __init__(self, tag: str, label: str, parent: Node | None, mark: int, article: bool):
+        self.tag, self.label, self.parent, self.mark, self.article = tag, label, parent, mark, article
+        self.site = mark > 0 or (parent is not None and parent.site)
         self.path = number(f"{parent.path if parent else 0}>{label}")
         self.nested = parent is not None and (parent.nested or parent.tag == "article")
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.children: list = []
 
 
@@ -80,6 +85,48 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def marked(tokens: list[list[str]], names: frozenset[str]) -> int:
+    """BY_NAME if a token has only words of ``names``, BY_WORD if it has one and doesn't tell a state ("no-sidebar")."""
+    mark = 0
+    for words in tokens:
+        if words and all(w in names for w in words):
+            return BY_NAME
+        if words and words[0] not in STATE_NAMES and any(w in names for w in words):
+            mark = BY_WORD
+    return mark
+
+
+def spare_article(root: Node) -> None:
+    """Clear names that would drop a page's every article and main element, if those hold most of its text."""
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(c for c in node.children if isinstance(c, Node))
+    named = [n for n in nodes if n.tag in ("article", "main")]
+    if not named or not all(n.site for n in named):
+        return
+
+    def spread() -> None:
+        for n in nodes:  # parents come before their children
+            n.site = n.mark > 0 or (n.parent is not None and n.parent.site)
+
+    def size(some: list[Node]) -> int:
+        return sum(len(" ".join(c.split())) for n in some if not n.site for c in n.children if isinstance(c, str))
+
+    outside, held = size(nodes), {}
+    for n in named:
+        up: Node | None = n
+        while up is not None and id(up) not in held:
+            held[id(up)] = up, up.mark
+            up = up.parent
+    for n, mark in held.values():
+        n.mark = 0 if mark == BY_WORD or (mark == BY_NAME and n.tag == "article") else mark
+    spread()
+    if size([n for n in nodes if n.inside]) <= outside:
+        for n, mark in held.values():
+            n.mark = mark
+        spread()
+
+
 #: The path of every page's root.
 ROOT = number("0>html")
 
@@ -89,7 +136,7 @@ class Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", "html", None, False, False)
+        self.root = Node("html", "html", None, 0, False)
         self.open = [self.root]
         self.counts: dict[str, int] = {}
 
@@ -120,12 +167,17 @@ class Builder(HTMLParser):
             self._end_open(*ENDS[tag])
         parent = self.open[-1]
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "itemprop")}
-        names = [w.lower() for k in ("class", "id", "role") if named.get(k) for w in WORD.findall(named[k])]
+        tokens = [[w.lower() for w in WORD.findall(t)] for k in ("class", "id", "role") if named.get(k) for t in named[k].split()]
+        names = {w for t in tokens for w in t}
         article = parent.article or tag in ("article", "main") or "main" in names or "articleBody" in named.get("itemprop", "")
-        site = parent.site or tag in SITE_TAGS or "hidden" in named or any(w in SITE_NAMES for w in names)
-        if not parent.article and (tag == "header" or any(w in HEAD_NAMES for w in names)):
-            site = True
-        node = Node(tag, tag + "".join("." + c for c in sorted(named.get("class", "").split())), parent, site, article)
+        mark = BY_TAG if tag in SITE_TAGS or "hidden" in named or (tag == "label" and not article) else 0
+        if not mark and tag != "main":
+            mark = marked(tokens, SITE_NAMES)
+            if mark == BY_WORD and (tag == "article" or parent.inside):
+                mark = 0
+        if not parent.article and tag not in ("article", "main"):
+            mark = max(mark, BY_TAG if tag == "header" else min(marked(tokens, HEAD_NAMES), BY_WORD))
+        node = Node(tag, tag + "".join("." + c for c in sorted(named.get("class", "").split())), parent, mark, article)
         parent.children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -153,6 +205,7 @@ def parse(html: str | None) -> Node:
         if re.match(r"<[A-Za-z/!?]", builder.rawdata):  # a tag cut off by the end is no text
             builder.rawdata = ""
         builder.close()
+        spare_article(builder.root)
     return builder.root
 
 

@@ -232,6 +232,20 @@ def test_main_text(html, text):
     assert site_tree.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article class='post no-sidebar'>a</article>", "a"), ("<main class='with-sidebar'>a</main>", "a"), ("<main class=search>a</main>", "a"),
+    ("<div id='page' class='has-related no-comments'><article>a</article></div>", "a"),
+    ("<div class='share-enabled'><article>long text</article></div><p>c</p>", "long text"),
+    ("<div class='related-posts'><article>t</article></div><p>long text", "long text"),
+    ("<article>a<section class='social-history'>b</section><div class=comments>c</div><div class=social-share>d</div></article>", "a b"),
+    ("<article>a <math><mi>x</mi></math> <label>b</label></article><label>c</label>", "a x b"),
+    ("<article class=notice>a</article><div class=sidebar-left>b</div>", "a"),
+    ("<article>a</article><article class='comment'>b</article>", "a"),
+])
+def test_names_do_not_drop_articles(html, text):
+    assert site_tree.main_text(html) == text
+
+
 def test_site_tree_removes_what_repeats(spark):
     words = [f"w{i} v{i * i}" for i in range(60)]
     rows = [(i, f"https://U@Big.example:80/{i}", f"<div class=box>Read more here</div><div class=body><p>{w}</p></div>") for i, w in enumerate(words)]
