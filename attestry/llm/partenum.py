@@ -317,6 +317,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     equal sets, repeated rows too, are always in one component. An empty table gives no rows;
     other columns aren't read. text_hash tells rows with the same id apart.
     """
+    return _grouped(docs, id_col, text_col).select("doc_id", "text_hash", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``near_groups``, and root: one number for each component, null for rows alone by lack of text."""
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     described = staged(slim.mapInArrow(
@@ -384,19 +389,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own"))
     nodes = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("own").alias("component_id"))
-    named = nodes.select("node", "root").join(smallest, "root").select("node", "component_id")
+    named = nodes.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
     return rows.join(named, "node", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "root",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with the same columns."""
-    groups = near_groups(docs, id_col, text_col)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_hash").alias("__keep_hash")
-    ).distinct()
+    """One document of every component, with the same columns: that of the least id, then text hash; null ids come last."""
+    groups = _grouped(docs, id_col, text_col)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")
+    first = groups.filter("root IS NOT NULL").groupBy("root").agg(least).select("r.doc_id", "r.text_hash")
+    alone = groups.filter("root IS NULL").select("doc_id", "text_hash").distinct()
+    keep = first.unionByName(alone).select(F.col("doc_id").alias("__keep_id"), F.col("text_hash").alias("__keep_hash"))
     own = F.xxhash64(docs[text_col].cast("string"))
     return docs.join(
         keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep_id")) & (own == F.col("__keep_hash")), "left_semi"

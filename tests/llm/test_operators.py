@@ -328,6 +328,14 @@ def test_near_groups_of_odd_rows(odd, none):
     assert partenum.near_groups(none).count() == 0 and partenum.keep_one(none).count() == 0
 
 
+def test_one_near_copy_stays_whatever_the_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words), (None, words + " x"), (None, words + " y")]
+    rows += [(7, f"a {words.upper().replace('W', 'v')}"), (7, f"b {words.upper().replace('W', 'v')}"), (7, "alone"), (8, None), (8, "")]
+    kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in kept) == {None: 1, 7: 2, 8: 2} and (7, "alone") in [tuple(r) for r in kept]
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(11)
     for _ in range(1500):
