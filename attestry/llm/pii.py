@@ -47,7 +47,7 @@ IBAN_LENGTHS = {
     30: ["JO", "KW", "MU"],
     31: ["MT", "SC"],
 }
-IBAN = "|".join(f"(?:{'|'.join(c)})[0-9][0-9](?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+ACCOUNTS = "|".join(f"(?:{'|'.join(c)})[0-9][0-9](?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 
 #: Words beside a match, by kind, in the languages of the corpora (fixed values).
 HINTS = {
@@ -65,13 +65,17 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 @dataclass(frozen=True)
 class Kind:
-    """One kind of span: its pattern, what confirms a match, its score and whether that may drop it."""
+    """One kind of span: its pattern, what confirms a match, its score and whether that may drop it.
+
+    Texts without ``sign``, which every match holds, aren't searched.
+    """
 
     name: str
     pattern: str
     check: Callable[[Column], Column]
     score: int
     firm: bool
+    sign: str = ""
     bounded: bool = False
     hint: int = 15
     doubt: int = 30
@@ -107,16 +111,16 @@ def social(match: Column) -> Column:
 KINDS = [
     Kind(
         "email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        lambda m: F.lit(True), 85, True,
+        lambda m: F.lit(True), 85, True, "@",
     ),
     Kind(
         "ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        lambda m: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), 70, True,
+        lambda m: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), 70, True, ".",
     ),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", luhn, 80, True),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(10, 15), 75, True),
-    Kind("iban", IBAN, mod97, 85, False, bounded=True),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", social, 40, False, bounded=True, hint=30),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(10, 15), 75, True, "+"),
+    Kind("iban", f"(?=[A-Z][A-Z][0-9][0-9])(?:{ACCOUNTS})", mod97, 85, False, bounded=True),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", social, 40, False, "-", bounded=True, hint=30),
 ]
 
 SPAN = "array<struct<start:bigint,place:int,kind:string,end:bigint,score:int>>"
@@ -194,7 +198,10 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii", kinds: list[
     """
     kinds = KINDS if kinds is None else kinds
     own = F.coalesce(F.col(text), F.lit(""))
-    found = {f"__found_{k.name}": F.regexp_extract_all(own, F.lit(k.pattern), F.lit(0)) for k in kinds}
+    found = {
+        f"__found_{k.name}": F.when(F.contains(own, F.lit(k.sign)), F.regexp_extract_all(own, F.lit(k.pattern), F.lit(0)))
+        for k in kinds
+    }
     df = df.withColumns(found)
     df = df.withColumns({
         f"__pieces_{k.name}": F.when(F.size(f"__found_{k.name}") > 0, F.split(own, k.pattern, -1)) for k in kinds

@@ -164,7 +164,7 @@ def _op12_sql():
         "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
         "card": "[0-9](?:[ -]?[0-9])+",
         "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-        "iban": pii.IBAN,
+        "iban": pii.ACCOUNTS,
         "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     }
     digits = "regexp_replace(mt, '[^0-9]', '', 'g')"

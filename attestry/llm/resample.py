@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ class Scanner:
         import ahocorasick
 
         split = [part.split() for _, part, _ in group]
-        distinct = sorted(set().union(*split))
+        distinct = list(set().union(*split))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         automaton.add_word(" \n ", 0)
         names = {}
@@ -149,7 +150,7 @@ class Scanner:
         if names:
             split = [[names.get(w, w) for w in words] for words in split]
         line = b" " + b" ".join(b" ".join([*words, self.BREAK]) for words in split) + b" "
-        found = np.fromiter((payload for _, payload in automaton.iter(line.decode("latin-1"))), np.int64)
+        found = np.fromiter(map(itemgetter(1), automaton.iter(line.decode("latin-1"))), np.int64)
 
         ends = found == 0
         part = np.cumsum(ends) - ends
