@@ -47,9 +47,11 @@ def first_blocker(
             F.count(F.lit(1)).alias("_copies"),
         )
         .where("_copies > 1 and _first is not null")
-        .select(key, "_first")
     )
-    joined = salted_join(df, groups, [key], [id_col], how="left")
+    sizes = groups.select(key, F.col("_copies").alias("_n"))
+    joined = salted_join(
+        df, groups.select(key, "_first"), [key], [id_col], how="left", sizes=sizes
+    )
     return joined.withColumn(
         out, F.when(F.col("_first") < place, F.col(f"_first.{id_col}"))
     ).drop("_first")
@@ -140,7 +142,8 @@ def duplicate_questions(
     repeated = (
         normed.groupBy("question_norm").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     )
-    return salted_join(normed, repeated, ["question_norm"], ["id"])
+    sizes = repeated.select("question_norm", F.col("copies").alias("_n"))
+    return salted_join(normed, repeated, ["question_norm"], ["id"], sizes=sizes)
 
 
 def dedupe_claims(claims: DataFrame, answer: list[str], order: str, text: str) -> DataFrame:

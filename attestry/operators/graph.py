@@ -6,6 +6,7 @@ so chunk and document ids are kept as rows (``mentions``, ``relation_mentions``)
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from attestry import fixed
 from attestry.functions import text as T
 from attestry.operators.retrieval import apply_filters, top_k
-from attestry.session import rank_within, salted_join
+from attestry.session import cut_lineage, rank_within, salted_join
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -140,8 +143,23 @@ def _joined_descriptions(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def resolve_entities(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(entities, mentions) from extraction rows; ``order`` columns fix what was seen first."""
+def _described(first: DataFrame, keyed: DataFrame, order: list[str], describe: bool) -> DataFrame:
+    """``first`` (one row per key) with ``description``, empty where there is none."""
+    if not describe:
+        return first.withColumn("description", F.lit(""))
+    texts = _joined_descriptions(
+        keyed.withColumn("description", T.js_trim(F.coalesce("description", F.lit("")))), order
+    )
+    return first.join(texts, "key", "left").fillna("", ["description"])
+
+
+def resolve_entities(
+    rows: DataFrame, order: list[str], describe: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(entities, mentions) from extraction rows; ``order`` columns fix what was seen first.
+
+    Searches don't read descriptions; ``describe=False`` leaves them empty and saves their joins.
+    """
     keyed = T.composed(rows, "name", "type").withColumn("key", entity_key("name", "type"))
     first = keyed.groupBy("key").agg(
         F.min_by(
@@ -152,17 +170,14 @@ def resolve_entities(rows: DataFrame, order: list[str]) -> tuple[DataFrame, Data
             F.struct(*order),
         ).alias("_f")
     )
-    described = _joined_descriptions(
-        keyed.withColumn("description", T.js_trim(F.coalesce("description", F.lit("")))), order
-    )
-    entities = first.join(described, "key", "left").select(
-        "key", "_f.name", "_f.type", F.coalesce("description", F.lit("")).alias("description")
+    entities = _described(first, keyed, order, describe).select(
+        "key", "_f.name", "_f.type", "description"
     )
     return entities, keyed.select("key", "chunk_id", "doc_id").distinct()
 
 
 def resolve_relations(
-    rows: DataFrame, entity_rows: DataFrame, order: list[str]
+    rows: DataFrame, entity_rows: DataFrame, order: list[str], describe: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(relations, relation mentions). Endpoint names are looked up inside their chunk."""
     entity_rows = T.composed(entity_rows.select("chunk_id", "name", "type", *order), "name", "type")
@@ -192,14 +207,10 @@ def resolve_relations(
     first = keyed.groupBy("key", "source_key", "target_key").agg(
         F.min_by(snake, F.struct(*order)).alias("type")
     )
-    described = _joined_descriptions(
-        keyed.withColumn("description", T.js_trim(F.coalesce("description", F.lit("")))), order
-    )
     mentions = keyed.select("key", "chunk_id", "doc_id").distinct()
     weights = _weights(mentions)
-    relations = first.join(weights, "key").join(described, "key", "left").select(
-        "key", "source_key", "target_key", "type",
-        F.coalesce("description", F.lit("")).alias("description"), "weight",
+    relations = _described(first.join(weights, "key"), keyed, order, describe).select(
+        "key", "source_key", "target_key", "type", "description", "weight",
     )
     return relations, mentions
 
@@ -288,10 +299,35 @@ def _edges(relations: DataFrame, max_degree: int) -> DataFrame:
             )
         ).alias("e"),
     ).select("edge", "weight", "e.a", "e.b")
-    crowded = both.groupBy("a").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > max_degree)
+    crowded = both.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_degree)
     busy = crowded.select("a")
-    kept = salted_join(both, busy, ["a"], ["edge"], how="left_anti")
-    return salted_join(kept, busy.select(F.col("a").alias("b")), ["b"], ["edge"], how="left_anti")
+    kept = salted_join(both, busy, ["a"], ["edge"], how="left_anti", sizes=crowded)
+    ends = [c.withColumnRenamed("a", "b") for c in (busy, crowded)]
+    return salted_join(kept, ends[0], ["b"], ["edge"], how="left_anti", sizes=ends[1])
+
+
+def adjacency(relations: DataFrame, hops: int, max_degree: int) -> DataFrame:
+    """One row per node: ``ways`` (weight, edge, b), best first, and the greatest gains of walks.
+
+    The degree cap bounds ``ways``. ``gain_r`` is the greatest weight that ``r`` more steps can add,
+    whatever edges were used before: an upper bound for any path that stands on the node.
+    """
+    edges = _edges(relations, max_degree)
+    best_first = F.array_sort(
+        F.collect_list(F.struct((-F.col("weight")).alias("down"), "edge", "b", "weight"))
+    )
+    nodes = edges.groupBy("a").agg(best_first.alias("ways")).withColumn(
+        "gain_1", F.get("ways", F.lit(0))["weight"]
+    )
+    nodes = cut_lineage(nodes)
+    for r in range(2, hops):
+        steps = nodes.select("a", F.explode("ways").alias("w")).select("a", "w.b", "w.weight")
+        onward = nodes.select(F.col("a").alias("b"), f"gain_{r - 1}")
+        gains = steps.join(onward, "b").groupBy("a").agg(
+            F.max(F.col("weight") + F.col(f"gain_{r - 1}")).alias(f"gain_{r}")
+        )
+        nodes = cut_lineage(nodes.join(gains, "a"))
+    return nodes
 
 
 def khop_paths(
@@ -299,32 +335,77 @@ def khop_paths(
 ) -> DataFrame:
     """Best undirected paths per query (``query_id, edges, score``), no edge used twice.
 
-    The degree cap bounds each step; it is part of the operator's meaning, not a cut of results.
+    Best first: a path is extended only if its score and the most that its node's remaining steps can
+    add reach the query's bar, the score of the ``top``-th best path known so far. Known are
+    the paths themselves and, by their node's best unused edge, one longer path each. The
+    last step takes no more than ``top`` edges of a node, in their order. So what is built are the paths
+    that can still enter the result, not all paths. The degree cap bounds each step; it is part of the
+    operator's meaning. Row counts of the steps are logged at level INFO.
     """
-    edges = _edges(relations, max_degree)
-    paths = seeds.select("query_id", F.col("key").alias("at")).distinct().join(
-        edges.withColumnRenamed("a", "at"), "at"
+    nodes = adjacency(relations, hops, max_degree)
+    order = [F.desc("score"), F.array_join("edges", ","), F.col("at")]
+    ahead = nodes.select(
+        F.col("a").alias("at"), F.slice("ways", 1, hops + 1).alias("_few"),
+        *[F.col(f"gain_{r}") for r in range(1, hops)],
+    )
+
+    def unused(ways: str) -> Column:
+        return F.filter(ways, lambda w: ~F.array_contains("edges", w["edge"]))
+
+    starts = seeds.select("query_id", F.col("key").alias("a")).distinct()
+    paths = starts.join(nodes.select("a", "ways"), "a").select(
+        "query_id", F.explode("ways").alias("w")
     ).select(
-        "query_id", F.col("b").alias("at"), F.array("edge").alias("edges"),
-        F.col("weight").alias("score"),
+        "query_id", F.col("w.b").alias("at"), F.array("w.edge").alias("edges"),
+        F.col("w.weight").alias("score"),
     )
-    everything = paths
-    for _ in range(hops - 1):
-        step = edges.select(
-            F.col("a").alias("at"), "b", "edge", F.col("weight").alias("_w")
-        )
-        paths = (
-            paths.join(step, "at")
-            .where(~F.array_contains("edges", F.col("edge")))
-            .select(
-                "query_id", F.col("b").alias("at"),
-                F.array_append("edges", F.col("edge")).alias("edges"),
-                (F.col("score") + F.col("_w")).alias("score"),
+    known = None
+    for left in range(hops - 1, -1, -1):
+        if left:
+            next_best = F.get(unused("_few"), F.lit(0))["weight"]
+            paths = paths.join(ahead, "at", "left").select(
+                "query_id", "at", "edges", "score",
+                (F.col("score") + next_best).alias("_longer"),
+                (F.col("score") + F.col(f"gain_{left}")).alias("_most"),
             )
-        )
-        everything = everything.unionByName(paths)
-    order = [F.desc("score"), F.array_join("edges", ","), F.col("at")]
-    return top_k(everything, ["query_id"], order, top)
+        paths = cut_lineage(paths)
+        log_rows("paths with %d steps left", paths, left)
+        complete = paths.select("query_id", "edges", "at", "score")
+        known = complete if known is None else known.unionByName(complete)
+        known = top_k(known, ["query_id"], order, top, "_n").drop("_n")
+        if left:
+            reached = known.select("query_id", "score").unionByName(
+                paths.where("_longer is not null").select("query_id", F.col("_longer").alias("score"))
+            )
+            bar = top_k(reached, ["query_id"], [F.desc("score")], top, "_n").where(
+                F.col("_n") == top
+            ).select("query_id", F.col("score").alias("_bar"))
+            hopeful = paths.where("_most is not null").join(bar, "query_id", "left").where(
+                "_bar is null or _most >= _bar"
+            )
+            log_rows("paths to extend, %d steps left", hopeful, left)
+            onward = unused("ways")
+            if left == 1:
+                onward = F.slice(onward, 1, top)
+                onward = F.filter(
+                    onward,
+                    lambda w: F.col("_bar").isNull()
+                    | (F.col("score") + w["weight"] >= F.col("_bar")),
+                )
+            paths = hopeful.join(nodes.select(F.col("a").alias("at"), "ways"), "at").select(
+                "query_id", "edges", "score", F.explode(onward).alias("w")
+            ).select(
+                "query_id", F.col("w.b").alias("at"),
+                F.array_append("edges", F.col("w.edge")).alias("edges"),
+                (F.col("score") + F.col("w.weight")).alias("score"),
+            )
+    return top_k(known, ["query_id"], order, top)
+
+
+def log_rows(what: str, df: DataFrame, *args: int) -> None:
+    """Log a row count, which is taken only if it will be seen."""
+    if log.isEnabledFor(logging.INFO):
+        log.info(what + ": %d", *args, df.count())
 
 
 def path_chunks(paths: DataFrame, relation_mentions: DataFrame) -> DataFrame:

@@ -51,16 +51,14 @@ def relation_rows(spark: SparkSession, sf: str, found: DataFrame | None = None)
     )
 
 
-def graph(spark: SparkSession, sf: str) -> G.Graph:
+def graph(spark: SparkSession, sf: str, describe: bool = True) -> G.Graph:
     """Resolved graph; the stage boundary keeps text out of everything that follows."""
     found = cut_lineage(names(spark, sf))
     ents = entity_rows(spark, sf, found)
-    entities, mentions = G.resolve_entities(ents, ["doc_id", "ord"])
+    entities, mentions = G.resolve_entities(ents, ["doc_id", "ord"], describe)
     links = relation_rows(spark, sf, found)
-    relations, proofs = G.resolve_relations(links, ents, ["doc_id", "ord"])
-    return G.Graph(
-        cut_lineage(entities), mentions, cut_lineage(relations), cut_lineage(proofs)
-    )
+    relations, proofs = G.resolve_relations(links, ents, ["doc_id", "ord"], describe)
+    return G.Graph(cut_lineage(entities), mentions, cut_lineage(relations), proofs)
 
 
 _NORM = S.trim(S.squeeze("nfc_normalize(lower({e}))"))
@@ -301,7 +299,7 @@ _PATHS = (
     f"WITH {_PATHS} SELECT query_id, rank::INT AS rank, score, array_to_string(es, ',') AS edges FROM pa",
 )
 def khop_paths(spark: SparkSession, sf: str) -> DataFrame:
-    g = graph(spark, sf)
+    g = graph(spark, sf, describe=False)
     paths = G.khop_paths(seeds(spark, sf, g), g.relations)
     return paths.select("query_id", "rank", "score", F.array_join("edges", ",").alias("edges"))
 
@@ -331,7 +329,7 @@ def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_hits(spark: SparkSession, sf: str) -> DataFrame:
-    g = graph(spark, sf)
+    g = graph(spark, sf, describe=False)
     linked = cut_lineage(seeds(spark, sf, g))
     paths = G.khop_paths(linked, g.relations)
     scored = cut_lineage(G.path_chunks(paths, g.relation_mentions))

@@ -53,6 +53,45 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread_hot(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    spread: list[str | Column],
+    salts: int = 16,
+    sizes: DataFrame | None = None,
+    heavy: int = 10_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt`` that differs from 0 only inside the hot keys of ``left``.
+
+    Hot are keys of ``heavy`` rows or more, at most four for each shuffle partition: any key beyond
+    those holds less than a quarter of a partition's share. That list is all that is broadcast. Rows of
+    the right side are copied once per salt for hot keys, rows of other keys stay single. Rows
+    with a null in their key match nothing and are dealt over the salts. ``sizes`` (``on``, ``_n``)
+    gives known counts; otherwise the rows of ``left`` are counted, with partial sums.
+    """
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    most = 4 * shuffle_partitions(left.sparkSession)
+    hot = F.broadcast(
+        counts.where(F.col("_n") >= heavy)
+        .orderBy(F.desc("_n"), *on)
+        .limit(most)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    unmatched = F.lit(False)
+    for c in on:
+        unmatched = unmatched | F.col(c).isNull()
+    dealt = left.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | unmatched, salt).otherwise(0)
+    )
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    copied = right.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
+    )
+    return dealt.drop("_hot"), copied.drop("_hot")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -60,17 +99,17 @@ def salted_join(
     spread: list[str | Column],
     salts: int = 16,
     how: str = "inner",
+    sizes: DataFrame | None = None,
+    heavy: int = 10_000,
 ) -> DataFrame:
     """Equi-join whose left side may hold one key in a third of its rows.
 
-    Left rows get a salt from ``spread`` (columns that differ inside a hot key), right rows are
-    copied once per salt, so the hot key is served by ``salts`` tasks. The right side should be
-    the smaller one, e.g. one row per key.
+    Left rows of a hot key get a salt from ``spread`` (columns that differ inside it), and the right
+    rows of that key are copied once per salt, so it is served by ``salts`` tasks; all other
+    keys join plainly (see ``spread_hot``). The right side should be the smaller one.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("_salt", salt)
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+    dealt, copied = spread_hot(left, right, on, spread, salts, sizes, heavy)
+    return dealt.join(copied, on + ["_salt"], how).drop("_salt")
 
 
 def rank_within(
