@@ -145,18 +145,19 @@ def _polarity(text: Column, negatives: list[str], positives: list[str]) -> tuple
     return contains_any(text, negatives), contains_any(stripped, positives)
 
 
-def opposed_phrases(claim: Column, chunk: Column) -> Column:
-    """On one topic the claim is clearly negative and the chunk positive, or vice versa."""
-    found = F.lit(False)
-    for negatives, positives in fixed.OPPOSED_PHRASES:
-        a_neg, a_pos = _polarity(claim, negatives, positives)
-        b_neg, b_pos = _polarity(chunk, negatives, positives)
-        found = (
-            found
-            | (a_neg & ~a_pos & b_pos & ~b_neg)
-            | (a_pos & ~a_neg & b_neg & ~b_pos)
-        )
-    return found
+def clear_polarity(text: Column) -> tuple[Column, Column]:
+    """Two bit sets over the topics of V13a: clearly negative ones and clearly positive ones."""
+    negative, positive = F.lit(0), F.lit(0)
+    for i, (negatives, positives) in enumerate(fixed.OPPOSED_PHRASES):
+        neg, pos = _polarity(text, negatives, positives)
+        negative = negative.bitwiseOR(F.when(neg & ~pos, F.lit(1 << i)).otherwise(0))
+        positive = positive.bitwiseOR(F.when(pos & ~neg, F.lit(1 << i)).otherwise(0))
+    return negative, positive
+
+
+def opposed(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """On one topic one side is clearly negative and the other positive."""
+    return (a[0].bitwiseAND(b[1]) != 0) | (a[1].bitwiseAND(b[0]) != 0)
 
 
 def disjoint_units(a: Column, b: Column) -> Column:
@@ -170,19 +171,18 @@ def disjoint_units(a: Column, b: Column) -> Column:
     return F.get(clash, F.lit(0))
 
 
-def claim_chunk_contradiction(
-    claim: Column,
-    chunk: Column,
-    claim_tokens: Column,
-    chunk_tokens: Column,
+def contradiction(
+    overlap: Column,
+    claim_polarity: tuple[Column, Column],
+    chunk_polarity: tuple[Column, Column],
     claim_units: Column,
     chunk_units: Column,
     min_overlap: float = 0.3,
 ) -> Column:
     """Same subject, then opposed wording or different figures for one unit."""
-    close = F.coalesce(overlap_ratio(claim_tokens, chunk_tokens), F.lit(0.0)) >= min_overlap
+    close = F.coalesce(overlap, F.lit(0.0)) >= min_overlap
     return close & (
-        opposed_phrases(F.lower(claim), F.lower(chunk))
+        opposed(claim_polarity, chunk_polarity)
         | disjoint_units(claim_units, chunk_units).isNotNull()
     )
 

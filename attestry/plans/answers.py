@@ -51,6 +51,20 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def shared(spark: SparkSession, sf: str, keep: bool = True) -> grounding.SharedContext:
+    """The same contexts as ranges: the turns of a conversation once, and up to which one each answer sees."""
+    rows = turns(spark, sf)
+    chunks = rows.select(
+        F.col("conv_id").alias("ctx_id"), (F.col("turn") + 1).alias("pos"),
+        F.col("answer_id").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"),
+        F.col("text").alias("content"), F.lit(0.5).alias("score"),
+    )
+    ranges = rows.where("role = 'assistant'").select(
+        "answer_id", F.col("conv_id").alias("ctx_id"), F.col("turn").alias("last")
+    )
+    return grounding.SharedContext.of(chunks, ranges, keep)
+
+
 def extracted(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf).select(
         "answer_id", F.posexplode(T.split_sentences_by_line("answer")).alias("pos", "claim_text")
@@ -159,11 +173,11 @@ _LEX = (
 
 
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
-    rows = grounding.with_context(answers(spark, sf), context(spark, sf)).withColumn(
-        "tok", T.content_tokens("answer")
+    rows = grounding.over_context(
+        answers(spark, sf).withColumn("tok", T.content_tokens("answer")), shared(spark, sf),
+        {"_found": grounding.found_in("tokens", "tok"), "n_chunks": grounding.N_CHUNKS},
     )
-    all_tokens = F.flatten(F.transform("ctx", lambda c: c["tokens"]))
-    return rows.withColumn("ratio", G.lexical_grounding_ratio(F.col("tok"), all_tokens))
+    return rows.withColumn("ratio", G.lexical_grounding_ratio(F.col("tok"), F.col("_found")))
 
 
 @query("lexical_grounding", f"WITH {_LEX} SELECT answer_id, ratio FROM lex")
@@ -186,7 +200,7 @@ def generation_status(spark: SparkSession, sf: str) -> DataFrame:
     """V5: every answer claims to be grounded; one in seven token counts reports otherwise."""
     rows = lexical(spark, sf)
     verdict = G.generation_status(
-        F.col("status"), F.col("answer"), F.size("ctx"), F.size("tok") % 7 != 0,
+        F.col("status"), F.col("answer"), F.col("n_chunks"), F.size("tok") % 7 != 0,
         F.col("ratio"), F.size("tok"),
     )
     return rows.select("answer_id", verdict.alias("v")).select(
@@ -194,8 +208,10 @@ def generation_status(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.match_evidence(claims(spark, sf), context(spark, sf))
+def evidence(
+    spark: SparkSession, sf: str, seen: grounding.SharedContext | None = None
+) -> DataFrame:
+    return grounding.match_evidence(claims(spark, sf), seen or shared(spark, sf))
 
 
 @query(
@@ -217,7 +233,8 @@ def match_evidence(spark: SparkSession, sf: str) -> DataFrame:
     "string_split(chunk_id, '-')[1] AS doc_id, chunk_id IS NOT NULL AS valid FROM r",
 )
 def build_citations(spark: SparkSession, sf: str) -> DataFrame:
-    out = grounding.build_citations(evidence(spark, sf), context(spark, sf))
+    seen = shared(spark, sf)
+    out = grounding.build_citations(evidence(spark, sf, seen), seen)
     return out.select("answer_id", "claim_id", "chunk_id", "doc_id", "valid")
 
 
@@ -229,7 +246,7 @@ def build_citations(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_citations(spark: SparkSession, sf: str) -> DataFrame:
     """V9: each answer names the first and third chunk of its context."""
     named = answers(spark, sf).withColumn("cited_indexes", F.array(F.lit(1), F.lit(3)))
-    out = grounding.baseline_citations(named, context(spark, sf))
+    out = grounding.baseline_citations(named, shared(spark, sf, keep=False))
     return out.select("answer_id", "chunk_id", "doc_id")
 
 
@@ -252,7 +269,7 @@ def citation_integrity(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", doc, (F.col("n") - 1).cast("string")).alias("chunk_id"),
         doc.alias("doc_id"),
     )
-    return grounding.citation_integrity(made, context(spark, sf)).select(
+    return grounding.citation_integrity(made, shared(spark, sf, keep=False)).select(
         "answer_id", "n", "chunk_id", "doc_id"
     )
 
@@ -273,7 +290,7 @@ _NUM_CTX = (
     "FROM x",
 )
 def numeric_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    out = grounding.numeric_provenance(answers(spark, sf), context(spark, sf))
+    out = grounding.numeric_provenance(answers(spark, sf), shared(spark, sf))
     return out.select(
         "answer_id", "checked", F.size("ungrounded").alias("ungrounded"), "all_grounded"
     )
@@ -294,7 +311,8 @@ _RESCUE = (
     "FROM resc",
 )
 def numeric_rescue(spark: SparkSession, sf: str) -> DataFrame:
-    out = grounding.apply_numeric_provenance(evidence(spark, sf), context(spark, sf))
+    seen = shared(spark, sf)
+    out = grounding.apply_numeric_provenance(evidence(spark, sf, seen), seen)
     return out.select("answer_id", "claim_id", "supported", "rescued")
 
 
@@ -318,15 +336,16 @@ conflict AS (SELECT answer_id, arg_min(ca, pa * 1000 + pb) AS chunk_a,
     f"WITH {_ANS}, {_CONFLICT} SELECT answer_id, chunk_a, chunk_b FROM conflict",
 )
 def context_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.context_conflicts(context(spark, sf)).select(
+    return grounding.context_conflicts(shared(spark, sf)).select(
         "answer_id", "chunk_a", "chunk_b"
     )
 
 
 def faith(spark: SparkSession, sf: str) -> DataFrame:
     # Claims are matched once; the verdict tally and the answer table both read the result.
-    matched = cut_lineage(evidence(spark, sf))
-    return grounding.faithfulness(answers(spark, sf), matched, context(spark, sf))[1]
+    seen = shared(spark, sf)
+    matched = cut_lineage(evidence(spark, sf, seen))
+    return grounding.faithfulness(answers(spark, sf), matched, seen)[1]
 
 
 _CONTRA = rf"""contra AS (SELECT DISTINCT e.answer_id, e.claim_id FROM evidence e
@@ -390,6 +409,6 @@ def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
 def verify_answers(spark: SparkSession, sf: str) -> DataFrame:
     """V6-V8, V12, V16, V18, V20 end to end."""
     rows, _, _ = grounding.verify_answers(
-        answers(spark, sf), extracted(spark, sf), cut_lineage(context(spark, sf))
+        answers(spark, sf), extracted(spark, sf), shared(spark, sf)
     )
     return rows.select("answer_id", "final_status", "score")

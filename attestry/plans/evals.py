@@ -198,9 +198,10 @@ def forbidden_claim_rate(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """M15 for the three runs. Answer-level work is done once and shared by the runs."""
     key = F.col("answer_id").alias("case_id")
-    matched = cut_lineage(A.evidence(spark, sf))
+    seen = A.shared(spark, sf)
+    matched = cut_lineage(A.evidence(spark, sf, seen))
     claims = E.claim_metrics(matched.select(key, "supported", "verdict"), ["case_id"])
-    cites = grounding.build_citations(matched, A.context(spark, sf)).select(
+    cites = grounding.build_citations(matched, seen).select(
         key, F.col("chunk_id").alias("item"), "valid"
     )
     citations = E.citation_metrics(cites, gold(spark, sf), ["case_id"])
