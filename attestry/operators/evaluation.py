@@ -7,14 +7,18 @@ counted or joined on (case, item), never collected.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from attestry import fixed
 from attestry.functions import text as T
-from attestry.session import rank_within, shuffle_partitions
+from attestry.session import cut_lineage, rank_within, shuffle_partitions
 
 RETRIEVAL_METRICS = [
     "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "context_precision", "context_recall",
@@ -197,36 +201,65 @@ def mean_bool(c: Column | str) -> Column:
     return F.coalesce(T.js_round(F.avg(T.col(c).cast("double"))), F.lit(0.0))
 
 
-_MASK = 0xFFFFFFFF
+#: Values of a key that one row holds, and about how many draws one row stands for.
+SLICE, DRAWS = 1 << 19, 1 << 22
 
 
-def _imul(a: Column, b: Column) -> Column:
-    """Low 32 bits of a product of two unsigned 32-bit numbers, without overflow."""
-    low = a * b.bitwiseAND(0xFFFF)
-    high = F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(0xFFFF), 16)
-    return (low + high).bitwiseAND(_MASK)
+def seeded_draws(seed: int, first: int, count: int) -> np.ndarray:
+    """The numbers in [0, 1) that draws ``first`` (from 1) to ``first + count - 1`` of the generator return.
+
+    Its state moves by a constant, so any draw is a pure function of the seed and its index.
+    """
+    call = (np.arange(first, first + count, dtype=np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    a = np.uint32(seed & 0xFFFFFFFF) + call * np.uint32(0x6D2B79F5)
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296.0
 
 
-def seeded_draw(df: DataFrame, seed: int, call: Column, out: str = "draw") -> DataFrame:
-    """Add the number in [0, 1) that the ``call``-th (from 1) draw of the seeded generator returns.
+def drawn_sums(
+    values: np.ndarray, low: int, n: int, first: int, last: int, seed: int
+) -> np.ndarray:
+    """Per iteration of [first, last): the sum of the values at [low, low + len(values)) that are drawn.
 
-    Its state moves by a constant, so any draw is a pure function of the seed and its index. Each
-    mixing round is a column of its own and stays inside generated code.
+    An iteration makes ``n`` draws with replacement of the indexes 0 to n - 1.
     """
-    kept = df.columns
-    start = F.lit(seed & _MASK).cast("long")
-    a = (start + F.pmod(call, F.lit(1 << 32)) * F.lit(0x6D2B79F5)).bitwiseAND(_MASK)
-    df = df.select(*kept, a.alias("_a"))
-    one = _imul(F.col("_a").bitwiseXOR(F.shiftright("_a", 15)), F.col("_a").bitwiseOR(1))
-    df = df.select(*kept, one.alias("_t"))
-    mixed = _imul(F.col("_t").bitwiseXOR(F.shiftright("_t", 7)), F.col("_t").bitwiseOR(61))
-    two = (F.col("_t") + mixed).bitwiseAND(_MASK).bitwiseXOR(F.col("_t"))
-    df = df.select(*kept, two.alias("_t"))
-    last = F.col("_t").bitwiseXOR(F.shiftright("_t", 14)).bitwiseAND(_MASK)
-    # Adding a zero that depends on the task keeps derived null checks from being pushed through
-    # the rounds, which would copy the whole mixing chain into a filter.
-    fence = F.spark_partition_id() * F.lit(0.0)
-    return df.select(*kept, (last / F.lit(4294967296.0) + fence).alias(out))
+    sums = np.zeros(last - first)
+    for at in range(first * n, last * n, 1 << 20):
+        count = min(1 << 20, last * n - at)
+        index = np.floor(seeded_draws(seed, at + 1, count) * n).astype(np.int64) - low
+        own = (index >= 0) & (index < len(values))
+        iteration = (at + np.flatnonzero(own)) // n - first
+        sums += np.bincount(iteration, weights=values[index[own]], minlength=len(sums))
+    return sums
+
+
+def _resampled(
+    values: DataFrame, keys: list[str], iterations: int, seed: int
+) -> DataFrame:
+    """(keys, n, _it, _s) from rows (keys, n, _low, _v, _first, _step) of slices and iterations."""
+    schema = ST.StructType(
+        [values.schema[c] for c in keys]
+        + [ST.StructField("n", ST.LongType()), ST.StructField("_it", ST.IntegerType()),
+           ST.StructField("_s", ST.DoubleType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                n, low, first, step = (column[c][i].as_py() for c in ("n", "_low", "_first", "_step"))
+                held = column["_v"][i].values.to_numpy(zero_copy_only=False)
+                last = min(first + step, iterations)
+                sums = drawn_sums(held, low, n, first, last, seed)
+                same = pa.array([i] * len(sums), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[column[c].take(same) for c in keys], column["n"].take(same),
+                     pa.array(range(first, last), pa.int32()), pa.array(sums)],
+                    names=schema.names,
+                )
+
+    return values.select(*keys, "n", "_low", "_v", "_first", "_step").mapInArrow(run, schema)
 
 
 def bootstrap_ci(
@@ -235,26 +268,32 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Mean and percentile interval per key; ``order`` fixes the input order and is unique.
 
-    Each value row opens its draw in every iteration, so the draws are spread like the data.
+    Values are packed into slices by their rank. A row is one slice and a stretch of iterations: it
+    runs through the stretch's draws and adds up the values that fall into its slice, so what is
+    shuffled are slices and one sum per slice and iteration, not draws.
     """
     present = values.where(F.col(value).isNotNull()).select(*keys, *order, value)
     rows = rank_within(present, keys, order, "_i").select(
         *keys, (F.col("_i") - 1).alias("_i"), F.col(value).cast("double").alias("_v")
     )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_mean"))
-    # The drawn values are looked up by (key, index), which draws hit evenly.
-    one = not keys
-    base = rows.join(sizes) if one else rows.join(sizes, keys)
-    # A fixed number of slices: few input rows become many draws, so they must not be merged.
-    base = base.repartition(shuffle_partitions(values.sparkSession), *keys, "_i")
-    draws = base.select(
-        *keys, "n", "_i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_it")
+    packed = rows.groupBy(*keys, F.floor(F.col("_i") / SLICE).alias("_slice")).agg(
+        F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_v"),
+        F.count(F.lit(1)).alias("_count"), F.sum("_v").alias("_sum"),
+    ).withColumn("_v", F.transform("_v", lambda x: x["_v"]))
+    packed = cut_lineage(packed)
+    sizes = packed.groupBy(*keys).agg(
+        F.sum("_count").alias("n"), (F.sum("_sum") / F.sum("_count")).alias("_mean")
     )
-    call = F.col("_it") * F.col("n") + F.col("_i") + 1
-    draws = seeded_draw(draws, seed, call).select(
-        *keys, "_it", F.floor(F.col("draw") * F.col("n")).alias("_i")
+    one = not keys
+    base = packed.join(sizes) if one else packed.join(sizes, keys)
+    step = F.greatest(F.lit(1), F.least(F.lit(iterations), F.floor(F.lit(DRAWS) / F.col("n")))).cast("int")
+    work = base.select(
+        *keys, "n", (F.col("_slice") * SLICE).alias("_low"), "_v", step.alias("_step"), "_slice",
+        F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), step)).alias("_first"),
+    ).repartition(shuffle_partitions(values.sparkSession), *keys, "_slice", "_first")
+    means = _resampled(work, keys, iterations, seed).groupBy(*keys, "n", "_it").agg(
+        (F.sum("_s") / F.col("n")).alias("_m")
     )
-    means = draws.join(rows, keys + ["_i"]).groupBy(*keys, "_it").agg(F.avg("_v").alias("_m"))
     alpha = (1 - confidence) / 2
     low_at = math.floor(alpha * iterations) + 1
     high_at = min(iterations - 1, math.ceil((1 - alpha) * iterations) - 1) + 1

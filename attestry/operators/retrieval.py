@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions.vectors import distance_to_score
-from attestry.session import salted_join, shuffle_partitions
+from attestry.session import cut_lineage, salted_join, shuffle_partitions
 
 TIE_DIGITS = 9
 
@@ -58,9 +59,11 @@ def searchable(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, mode
     return own.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(done, "doc_id")
 
 
-def apply_query_filters(hits: DataFrame, allowed: DataFrame, on: list[str]) -> DataFrame:
-    """R3 when each query has its own allow-list: a semi-join on (query, id)."""
-    return hits.join(allowed, on, "left_semi")
+def allowed_chunks(lists: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Each query's list of documents (query_id, doc_id) as a list of chunks (query_id, chunk_id)."""
+    return lists.select("query_id", doc).distinct().join(
+        chunks.select("chunk_id", doc), doc
+    ).select("query_id", "chunk_id")
 
 
 # --- R1: exact search ------------------------------------------------------------------------------
@@ -139,8 +142,9 @@ def vector_topk(
     vec: str = "embedding",
     tile: int = 4096,
     block: int = 256,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact nearest chunks.
+    """Exact nearest chunks; R3: with ``allowed``, those of the query's own list (query_id, chunk_id).
 
     Vectors are packed into tiles where they lie and query blocks are sent to them through an
     equi-join on a slot number. A small query side is broadcast by the engine after measuring it,
@@ -149,6 +153,9 @@ def vector_topk(
     slots = shuffle_partitions(queries.sparkSession)
     q_type = queries.schema[query_id].dataType.simpleString()
     c_type = vectors.schema[chunk_id].dataType.simpleString()
+    if allowed is not None:
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"))
+        return _listed_top_k(asked, vectors.select(chunk_id, vec), allowed, k, kind, tile, block)
     blocks = _tiles(queries, query_id, query_vec, block, "q").withColumn(
         "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
     )
@@ -159,6 +166,64 @@ def vector_topk(
     return _ranked(near, k, kind)
 
 
+def _listed_top_k(
+    queries: DataFrame, vectors: DataFrame, allowed: DataFrame, k: int, kind: str, tile: int, block: int
+) -> DataFrame:
+    """Lists are intersected with the tiles before the nearest are taken, so none come short.
+
+    The list of a query becomes one bit map of positions for each tile that holds any of its chunks.
+    Only those tiles meet the query, in blocks of queries. A query without a list finds nothing.
+    """
+    chunk_id, vec = vectors.columns
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    c_type = vectors.schema[chunk_id].dataType.simpleString()
+    tiles = cut_lineage(
+        _tiles(vectors, chunk_id, vec, tile, "c").withColumn("tile", F.monotonically_increasing_id())
+    )
+    members = tiles.select("tile", F.posexplode("c_ids").alias("pos", "chunk_id"))
+    marks = (
+        allowed.select("query_id", "chunk_id").join(members, "chunk_id")
+        .groupBy("tile", "query_id")
+        .agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("mark"))
+    )
+    blocks = max(1, -(-queries.count() // block))
+    packed = (
+        marks.join(queries.select("query_id", F.col("qv").cast("array<double>").alias("qv")), "query_id")
+        .groupBy("tile", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+        .agg(F.sort_array(F.collect_list(F.struct("query_id", "qv", "mark"))).alias("q"))
+        .select("tile", F.col("q.query_id").alias("q_ids"), F.col("q.qv").alias("qv"), F.col("q.mark").alias("marks"))
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, c_ids = batch.column(0)[row].values, batch.column(3)[row].values
+                q = batch.column(1)[row].values.flatten().to_numpy().reshape(len(q_ids), -1)
+                x = np.frombuffer(batch.column(4)[row].as_py(), "<f8").reshape(len(c_ids), -1)
+                bits = [np.frombuffer(m.as_py(), np.uint8) for m in batch.column(2)[row].values]
+                own = np.unpackbits(np.stack(bits), axis=1, bitorder="little")[:, : len(c_ids)].astype(bool)
+                dist = np.round(_distances(q, x, kind), TIE_DIGITS)
+                names = c_ids.to_numpy(zero_copy_only=False)
+                take_q, take_c = [], []
+                for i in range(len(q_ids)):
+                    near = np.flatnonzero(own[i])
+                    best = near[np.lexsort((names[near], dist[i][near]))[:k]]
+                    take_q += [i] * len(best)
+                    take_c += best.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        q_ids.take(pa.array(take_q, pa.int64())), c_ids.take(pa.array(take_c, pa.int64())),
+                        pa.array(dist[take_q, take_c] if take_q else [], pa.float64()),
+                    ],
+                    ["query_id", "chunk_id", "distance"],
+                )
+
+    near = packed.join(tiles, "tile").select("q_ids", "qv", "marks", "c_ids", "c_mat").mapInArrow(
+        search, f"query_id {q_type}, chunk_id {c_type}, distance double"
+    )
+    return _ranked(near, k, kind)
+
+
 def _ranked(near: DataFrame, k: int, kind: str) -> DataFrame:
     best = top_k(near, ["query_id"], [F.col("distance"), F.col("chunk_id")], k)
     return best.withColumn("score", distance_to_score("distance", kind))
@@ -168,6 +233,149 @@ def _ranked(near: DataFrame, k: int, kind: str) -> DataFrame:
 TILE_ROWS = 4096
 
 
+CENTER_ROWS = 256
+
+
+@dataclass
+class CellIndex:
+    """k-means cells: ``tiles`` (cell, slot, c_ids, c_mat), the slots of each cell, and the centres."""
+
+    tiles: DataFrame
+    sizes: DataFrame  # cell, slots
+    centers: DataFrame  # cell, center
+
+
+def _placing(vec: Column, kind: str) -> Column:
+    """What cells are made of: for cosine the directions, otherwise the vectors."""
+    own = vec.cast("array<double>")
+    if kind != "cosine":
+        return own
+    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(own, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+def fit_centers(
+    vectors: DataFrame, cells: int | None, kind: str = "cosine", seed: int = 7, vec: str = "embedding"
+) -> DataFrame:
+    """(cell, center) by k-means on a sample of about ``CENTER_ROWS`` vectors a cell, drawn by hash.
+
+    By default there are as many cells as the root of the number of vectors. The sample decides only where
+    the centres lie; every vector is placed.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    n = vectors.count()
+    cells = cells or max(1, math.isqrt(n))
+    share = min(1.0, CENTER_ROWS * cells / max(n, 1))
+    drawn = vectors if share == 1 else vectors.where(
+        F.pmod(F.xxhash64(vec, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    )
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(
+        drawn.select(array_to_vector(_placing(F.col(vec), kind)).alias("features"))
+    )
+    return vectors.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+        "cell int, center array<double>",
+    )
+
+
+def nearest_cells(rows: DataFrame, centers: DataFrame, probe: int, kind: str) -> DataFrame:
+    """(id, cell): the ``probe`` nearest cells of every row (id, v)."""
+    placed = rows.select("id", _placing(F.col("v"), kind).alias("v"))
+    found = vector_topk(placed, centers, probe, "l2", "id", "v", "cell", "center")
+    return found.select(F.col("query_id").alias("id"), F.col("chunk_id").alias("cell"))
+
+
+def place_vectors(
+    vectors: DataFrame, centers: DataFrame, kind: str = "cosine", taken: DataFrame | None = None,
+    chunk_id: str = "chunk_id", vec: str = "embedding",
+) -> CellIndex:
+    """Tiles of the vectors' cells. A cell has as many slots as it takes for its own rows.
+
+    ``taken`` (cell, slots) shifts the slot numbers behind those of an index that is appended to.
+    """
+    x = vectors.select(F.col(chunk_id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    x = x.join(nearest_cells(x, centers, 1, kind), "id")
+    sizes = x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("slots"))
+    first = F.lit(0).alias("_first")
+    if taken is None:
+        dealt = x.join(sizes.select("*", first), "cell")
+    else:
+        old = taken.select("cell", F.col("slots").alias("_first"))
+        dealt = x.join(sizes.join(old, "cell", "left").fillna(0, ["_first"]), "cell")
+    dealt = dealt.withColumn("slot", (F.pmod(F.xxhash64("id"), F.col("slots")) + F.col("_first")).cast("int"))
+    c_type = vectors.schema[chunk_id].dataType.simpleString()
+    return CellIndex(_cell_tiles(dealt, "id", "v", c_type, "c"), sizes, centers)
+
+
+def search_cells(
+    queries: DataFrame, index: CellIndex, k: int = 20, kind: str = "cosine", probe: int | None = None,
+    query_id: str = "query_id", query_vec: str = "qv",
+) -> DataFrame:
+    """R2: each query looks into its ``probe`` nearest cells; with None, as many as ``tuned_probe`` finds."""
+    probe = probe or tuned_probe(queries, index, k, kind, query_id, query_vec)
+    q_type = queries.schema[query_id].dataType.simpleString()
+    c_type = index.tiles.schema["c_ids"].dataType.elementType.simpleString()
+    asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
+    q = asked.join(nearest_cells(asked, index.centers, probe, kind), "id")
+    blocks = _cell_tiles(q.withColumn("slot", F.lit(0)), "id", "v", q_type, "q").drop("slot")
+    blocks = blocks.join(index.sizes, "cell").withColumn(
+        "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    ).drop("slots")
+    near = _tile_top_k(index.tiles.join(blocks, ["cell", "slot"]), k, kind, q_type, c_type)
+    return _ranked(near, k, kind)
+
+
+def tuned_probe(
+    queries: DataFrame, index: CellIndex, k: int = 20, kind: str = "cosine",
+    query_id: str = "query_id", query_vec: str = "qv", recall: float = 0.95, audited: int = 32,
+) -> int:
+    """The number of cells to probe for a mean recall of ``recall``, widened until an audit passes.
+
+    The audit takes the ``audited`` queries with the smallest hashes and compares with all cells.
+    """
+    some = cut_lineage(queries.orderBy(F.xxhash64(query_id), query_id).limit(audited))
+    cells = index.centers.count()
+    exact = cut_lineage(search_cells(some, index, k, kind, cells, query_id, query_vec))
+    probe = -(-cells // 8)
+    while probe < cells:
+        found = search_cells(some, index, k, kind, probe, query_id, query_vec)
+        if (recall_against(exact, found).agg(F.avg("recall")).first()[0] or 1.0) >= recall:
+            break
+        probe = min(cells, -(-probe * 3 // 2))
+    return probe
+
+
+def write_cell_index(
+    vectors: DataFrame, path: str, kind: str = "cosine", cells: int | None = None, seed: int = 7,
+    chunk_id: str = "chunk_id", vec: str = "embedding",
+) -> None:
+    """R2: the index as tables: centres, and tiles partitioned by cell, so that a search reads its cells only."""
+    fit_centers(vectors, cells, kind, seed, vec).write.parquet(f"{path}/centers")
+    centers = vectors.sparkSession.read.parquet(f"{path}/centers")
+    _add_tiles(place_vectors(vectors, centers, kind, None, chunk_id, vec), path)
+
+
+def append_to_cell_index(
+    vectors: DataFrame, path: str, kind: str = "cosine", chunk_id: str = "chunk_id", vec: str = "embedding"
+) -> None:
+    """R2: further vectors, placed by the stored centres in new slots; nothing stored is rewritten."""
+    stored = read_cell_index(vectors.sparkSession, path)
+    taken = cut_lineage(stored.sizes)
+    _add_tiles(place_vectors(vectors, stored.centers, kind, taken, chunk_id, vec), path)
+
+
+def _add_tiles(index: CellIndex, path: str) -> None:
+    index.tiles.write.mode("append").partitionBy("cell").parquet(f"{path}/tiles")
+
+
+def read_cell_index(spark: SparkSession, path: str) -> CellIndex:
+    tiles = spark.read.parquet(f"{path}/tiles")
+    sizes = tiles.groupBy("cell").agg((F.max("slot") + 1).alias("slots"))
+    return CellIndex(tiles, sizes, spark.read.parquet(f"{path}/centers"))
+
+
 def vector_topk_ann(
     queries: DataFrame,
     vectors: DataFrame,
@@ -176,66 +384,28 @@ def vector_topk_ann(
     cells: int | None = None,
     probe: int | None = None,
     seed: int = 7,
-    sample: float = 1.0,
     query_id: str = "query_id",
     query_vec: str = "qv",
     chunk_id: str = "chunk_id",
     vec: str = "embedding",
 ) -> DataFrame:
-    """R2: k-means cells; each query looks into its ``probe`` nearest ones.
+    """R2 without a stored index: cells are made for this search.
 
-    ``cells`` and ``probe`` trade recall for work, as graph-index knobs do; by default there are as
-    many cells as the root of the number of vectors, and a quarter of them is probed. A cell may
-    hold a third of the vectors: its rows are dealt over slots, as many as it takes for the whole
-    table in tiles of ``TILE_ROWS``, so one cell is many tasks.
+    ``cells`` and ``probe`` trade recall for work, as graph-index knobs do; without ``probe``, an audit
+    sets it. A cell may hold a third of the vectors: its rows are dealt over its slots, so one
+    cell is many tasks.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    q_type = queries.schema[query_id].dataType.simpleString()
-    c_type = vectors.schema[chunk_id].dataType.simpleString()
-    n = vectors.count()
-    cells = cells or max(1, math.isqrt(n))
-    probe = probe or -(-cells // 4)
-    points = vectors.select(
-        chunk_id, vec, array_to_vector(F.col(vec).cast("array<double>")).alias("features")
-    )
-    fit_on = points if sample >= 1 else points.sample(fraction=sample, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(fit_on)
-    spark = queries.sparkSession
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "chunk_id int, embedding array<double>",
-    )
-    probed = vector_topk(
-        queries, centers, probe, "l2", query_id, query_vec
-    ).select("query_id", F.col("chunk_id").alias("cell"))
-    q = (
-        queries.select(F.col(query_id).alias("query_id"), query_vec)
-        .join(probed, "query_id")
-        .select("query_id", F.col(query_vec).cast("array<double>").alias("qv"), "cell")
-    )
-    x = model.transform(points).select(
-        F.col(chunk_id).alias("chunk_id"),
-        F.col(vec).cast("array<double>").alias("v"),
-        F.col("prediction").alias("cell"),
-    )
-    # pack cell members and the cell's queries, then meet on (cell, slot)
-    slots = max(1, -(-n // TILE_ROWS))
-    xt = _cell_tiles(x, "chunk_id", "v", c_type, "c", slots)
-    qt = _cell_tiles(q, "query_id", "qv", q_type, "q", 1).drop("slot").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
-    )
-    near = _tile_top_k(xt.join(qt, ["cell", "slot"]), k, kind, q_type, c_type)
-    return _ranked(near, k, kind)
+    centers = fit_centers(vectors, cells, kind, seed, vec)
+    index = place_vectors(vectors, centers, kind, None, chunk_id, vec)
+    index = CellIndex(cut_lineage(index.tiles), cut_lineage(index.sizes), centers)
+    return search_cells(queries, index, k, kind, probe, query_id, query_vec)
 
 
 def _cell_tiles(
-    df: DataFrame, id_col: str, vec_col: str, id_type: str, prefix: str, slots: int, rows: int = TILE_ROWS
+    df: DataFrame, id_col: str, vec_col: str, id_type: str, prefix: str, rows: int = TILE_ROWS
 ) -> DataFrame:
     """Tiles that hold one (cell, slot) each; tiles stay bounded however large a cell is."""
-    placed = df.withColumn("slot", F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int"))
-    placed = placed.repartition("cell", "slot").sortWithinPartitions("cell", "slot")
+    placed = df.repartition("cell", "slot").sortWithinPartitions("cell", "slot")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,9 +478,65 @@ def build_postings(
     return rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(postings: DataFrame, name: str, buckets: int = 64) -> None:
-    """A table bucketed by term, so searches join without shuffling it again."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+def write_postings(
+    postings: DataFrame, name: str, owners: DataFrame, buckets: int = 64
+) -> None:
+    """A table bucketed by term, and an empty one of replaced documents beside it.
+
+    ``owners`` gives the document of each chunk (chunk_id, doc_id).
+    """
+    _store_postings(postings.join(owners, "chunk_id"), name, 0, buckets, "overwrite")
+    spark = postings.sparkSession
+    doc_type = owners.schema["doc_id"].dataType.simpleString()
+    empty = spark.createDataFrame([], f"doc_id {doc_type}, before long")
+    empty.write.mode("overwrite").saveAsTable(f"{name}_replaced")
+
+
+def _store_postings(rows: DataFrame, name: str, version: int, buckets: int, mode: str) -> None:
+    rows.select("term", "chunk_id", "doc_id", "tf", F.lit(version).cast("long").alias("version")).write.mode(
+        mode
+    ).bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+
+
+def replace_postings(
+    postings: DataFrame, name: str, owners: DataFrame, gone: DataFrame, buckets: int = 64
+) -> None:
+    """The documents ``gone`` (doc_id) lose what is stored for them; ``postings`` are added.
+
+    New rows are appended under the next version first and the older versions of the documents are
+    marked afterwards, so a job that dies in between leaves both old and new rows, and running it again
+    repairs that. Stored rows aren't rewritten until ``compact_postings``.
+    """
+    spark = postings.sparkSession
+    marked = spark.table(f"{name}_replaced")
+    stored = spark.table(name).agg(F.max("version")).first()[0] or 0
+    version = max(stored, marked.agg(F.max("before")).first()[0] or 0) + 1
+    _store_postings(postings.join(owners, "chunk_id"), name, version, buckets, "append")
+    gone.select("doc_id", F.lit(version).cast("long").alias("before")).distinct().write.mode("append").saveAsTable(
+        f"{name}_replaced"
+    )
+
+
+def live_postings(matched: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Rows of the stored table whose document wasn't replaced after they were written."""
+    dead = spark.table(f"{name}_replaced").groupBy("doc_id").agg(F.max("before").alias("_before"))
+    return matched.join(dead, "doc_id", "left").where(
+        F.col("_before").isNull() | (F.col("version") >= F.col("_before"))
+    ).drop("_before")
+
+
+def compact_postings(spark: SparkSession, name: str, new: str, buckets: int = 64) -> None:
+    """The live rows as a table of their own, without marks."""
+    _store_postings(live_postings(spark.table(name), spark, name), new, 0, buckets, "overwrite")
+    spark.table(f"{name}_replaced").limit(0).write.mode("overwrite").saveAsTable(f"{new}_replaced")
+
+
+def search_postings(
+    terms: DataFrame, spark: SparkSession, name: str, k: int = 20, allowed: DataFrame | None = None
+) -> DataFrame:
+    """R6 on stored postings: they meet the terms where they lie, in buckets or against measured terms."""
+    matched = terms.join(spark.table(name), "term")
+    return _keyword_best(live_postings(matched, spark, name), k, occurrence_weight, allowed)
 
 
 def occurrence_weight(tf: Column) -> Column:
@@ -340,13 +566,23 @@ def keyword_topk(
     postings: DataFrame,
     k: int = 20,
     weight: Callable[[Column], Column] = occurrence_weight,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Any-term match; score is the rank divided by the best rank of the query.
 
-    A frequent term is salted on the postings side; contributions are summed before the shuffle.
+    A frequent term is salted on the postings side; contributions are summed before the shuffle. With
+    ``allowed`` (query_id, chunk_id), R3: only chunks of the query's own list are ranked.
     """
     matched = salted_join(postings, terms, ["term"], ["chunk_id"])
+    return _keyword_best(matched, k, weight, allowed)
+
+
+def _keyword_best(
+    matched: DataFrame, k: int, weight: Callable[[Column], Column], allowed: DataFrame | None
+) -> DataFrame:
     raw = matched.groupBy("query_id", "chunk_id").agg(F.sum(weight(F.col("tf"))).alias("_raw"))
+    if allowed is not None:
+        raw = raw.join(allowed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     raw = raw.withColumn("_raw", F.round("_raw", TIE_DIGITS))
     best = top_k(raw, ["query_id"], [F.desc("_raw"), F.col("chunk_id")], k)
     most = F.greatest(F.max("_raw").over(W.partitionBy("query_id")), F.lit(1e-9))
