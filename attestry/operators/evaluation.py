@@ -666,9 +666,16 @@ def validate_cases(cases: DataFrame, minimums: dict[str, int] | None = None) ->
             ).alias("_g"),
         )
         .where("_g <> ''")
-        .select("id", T.strip_diacritics("_g").alias("_g"), F.explode("requiredFacts").alias("_f"))
-        .select("id", "_g", T.strip_diacritics("_f").alias("_f"))
-        .where(~fact_in_text(F.col("_g"), F.col("_f")))
+        .withColumn("_k", F.xxhash64("requiredFacts", "_g"))
+    )
+    # each text and each fact is normalised once; they meet in the case's row
+    facts = gold_text.select("id", "_k", F.explode("requiredFacts").alias("_f")).select(
+        "id", "_k", T.strip_diacritics("_f").alias("_f")
+    ).groupBy("id", "_k").agg(F.collect_set("_f").alias("_fs"))
+    gold_text = (
+        gold_text.select("id", "_k", T.strip_diacritics("_g").alias("_g"))
+        .join(facts, ["id", "_k"])
+        .where(F.exists("_fs", lambda f: ~fact_in_text(F.col("_g"), f)))
         .select("id").distinct()
     )
     out = (

@@ -127,11 +127,14 @@ def ir_metrics_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- facts ---------------------------------------------------------------------------------------------
-def snippets(spark: SparkSession, sf: str, start: int, out: str) -> DataFrame:
-    ctx = A.context(spark, sf)
-    words = F.slice(F.split(T.squeeze(F.col("content")), " ", -1), start, 3)
-    return ctx.select(
-        F.col("answer_id").alias("case_id"), F.array_join(words, " ").alias(out)
+def sentences(spark: SparkSession, sf: str, back: int, out: str) -> DataFrame:
+    """Every sentence of the turn ``back`` turns before an answer."""
+    rows = A.turns(spark, sf)
+    asked = rows.where("role = 'assistant'").select(
+        F.col("answer_id").alias("case_id"), "conv_id", (F.col("turn") - back).alias("turn")
+    )
+    return asked.join(rows.select("conv_id", "turn", "text"), ["conv_id", "turn"]).select(
+        "case_id", F.explode(T.split_sentences_by_line("text")).alias(out)
     )
 
 
@@ -146,18 +149,21 @@ def _strip(e: str) -> str:
     )
 
 
-def _snippet_cte(start: int) -> str:
-    words = f"list_slice(string_split({S.squeeze('content')}, ' '), {start}, {start + 2})"
+def _sentence_cte(back: int) -> str:
     return (
-        f"sn AS (SELECT c.answer_id AS case_id, {_strip('a.answer')} AS na, "
-        f"{_strip(f'array_to_string({words}, chr(32))')} AS nf FROM ctx c JOIN ans a "
-        "USING (answer_id)), tk AS (SELECT *, list_filter(string_split_regex(nf, "
+        "pt AS (SELECT a.answer_id AS case_id, a.answer, t.text FROM ans a JOIN turns t "
+        f"ON t.conv_id = a.conv_id AND t.turn = a.turn - {back}), "
+        r"pl AS (SELECT case_id, answer, unnest(string_split_regex(text, '\n+')) AS line FROM pt), "
+        f"pp AS (SELECT case_id, answer, unnest(CASE WHEN regexp_matches({S.trim('line')}, '^#{{1,6}}[{S.WS}]') "
+        f"THEN [{S.trim('line')}] ELSE string_split({A._SPLIT}, chr(1)) END) AS p FROM pl), "
+        f"sn AS (SELECT case_id, {_strip('answer')} AS na, {_strip('p')} AS nf FROM pp WHERE {S.trim('p')} <> ''), "
+        "tk AS (SELECT *, list_filter(string_split_regex(nf, "
         rf"'[{S.WS}.,/\-]+'), lambda t: length(t) >= 2) AS ts FROM sn)"
     )
 
 
 _FACTS = (
-    f"{_snippet_cte(1)}, facts AS (SELECT case_id, "
+    f"{_sentence_cte(1)}, facts AS (SELECT case_id, "
     + S.js_round(
         "avg(CASE WHEN nf = '' OR contains(na, nf) OR len(ts) = 0 OR len(list_filter(ts, "
         "lambda t: contains(na, t)))::DOUBLE / len(ts) >= 0.8 THEN 1.0::DOUBLE ELSE 0 END)"
@@ -171,15 +177,15 @@ _FACTS = (
     f"WITH {A._ANS}, {_FACTS} SELECT case_id, required_fact_recall FROM facts",
 )
 def required_fact_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """The opening words of each context turn are the required facts."""
+    """The sentences of the question are the required facts."""
     return E.required_fact_recall(
-        case_answers(spark, sf), snippets(spark, sf, 1, "fact"), ["case_id"]
+        case_answers(spark, sf), sentences(spark, sf, 1, "fact"), ["case_id"]
     )
 
 
 @query(
     "forbidden_claim_rate",
-    f"WITH {A._ANS}, {_snippet_cte(4)}, kp AS (SELECT *, list_filter(ts, lambda t: NOT "
+    f"WITH {A._ANS}, {_sentence_cte(2)}, kp AS (SELECT *, list_filter(ts, lambda t: NOT "
     f"list_contains({S.text_list(E.fixed.FACT_STOP_WORDS)}, t)) AS ks FROM tk) SELECT case_id, "
     + S.js_round(
         "avg(CASE WHEN nf <> '' AND (contains(na, nf) OR (len(ks) > 0 AND regexp_matches(na, "
@@ -188,9 +194,9 @@ def required_fact_recall(spark: SparkSession, sf: str) -> DataFrame:
     + " AS forbidden_claim_rate FROM kp GROUP BY 1",
 )
 def forbidden_claim_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Three words of each context turn must not be repeated."""
+    """No sentence of the answer before may be repeated."""
     return E.forbidden_claim_rate(
-        case_answers(spark, sf), snippets(spark, sf, 4, "claim"), ["case_id"]
+        case_answers(spark, sf), sentences(spark, sf, 2, "claim"), ["case_id"]
     )
 
 
@@ -473,24 +479,28 @@ def set_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- case files ----------------------------------------------------------------------------------------------
 def text_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as evaluation cases: first words = question, last word = answer."""
+    """Documents as evaluation cases: the last line is the answer, the lines before it (or the only one)
+    the question, and every line a fact. One in five also has its length as a fact, which no text states."""
     docs = src.table(spark, sf, "documents")
-    words = F.filter(F.split(F.col("text"), rf"[{T.WS}]+", -1), lambda w: w != "")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x != "")
+    last = F.greatest(F.size(lines) - 1, F.lit(1))
+    length = F.concat(F.lit("length "), F.col("n_chars"))
     none = F.array().cast("array<string>")
     en = F.col("lang") == "en"
     return docs.select(
         F.col("doc_id").cast("string").alias("id"),
         F.when(F.col("n_chars") % 11 == 0, "CONFLICTING_SOURCES").otherwise("FACT").alias("type"),
-        F.array_join(F.slice(words, 1, 6), " ").alias("question"),
+        F.array_join(F.slice(lines, F.lit(1), last), " ").alias("question"),
         en.alias("answerable"),
-        F.when(F.col("n_chars") % 3 != 0, F.array_join(F.slice(words, 1, 3), " "))
+        F.when(F.col("n_chars") % 3 != 0, F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")))
         .alias("expectedAnswer"),
         F.when(F.col("n_chars") % 2 == 0, F.array("source")).otherwise(none)
         .alias("expectedDocuments"),
         none.alias("alternativeDocuments"),
         F.when(F.col("n_chars") % 10 == 0, F.array("source")).otherwise(none)
         .alias("distractorDocuments"),
-        F.array(F.array_join(F.slice(words, 2, 3), " ")).alias("requiredFacts"),
+        F.when(F.col("n_chars") % 5 == 0, F.array_append(lines, length)).otherwise(lines)
+        .alias("requiredFacts"),
         none.alias("forbiddenClaims"),
         (F.col("n_chars") % 7 == 0).alias("shouldAbstain"),
         F.when(F.col("n_chars") % 4 == 0, "multi_hop").when(
@@ -504,14 +514,13 @@ def text_cases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_W = f"list_filter(string_split_regex(text, '[{S.WS}]+'), lambda w: w <> '')"
 _CASES = (
-    f"w AS (SELECT *, {_W} AS ws FROM documents), tc AS (SELECT doc_id::VARCHAR AS id, lang, text, "
-    "source, n_chars AS n, n_chars % 11 = 0 AS confl, array_to_string(ws[1:6], ' ') AS question, "
-    "lang = 'en' AS answerable, CASE WHEN n_chars % 3 <> 0 THEN array_to_string(ws[1:3], ' ') END "
-    "AS ea, (n_chars % 2 = 0)::INT AS g, array_to_string(ws[2:4], ' ') AS fact, CASE "
-    "WHEN n_chars % 4 = 0 THEN 'multi_hop' WHEN n_chars % 4 = 1 THEN 'numerical_exact' END AS cat "
-    "FROM w), "
+    "w AS (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS ls FROM documents), "
+    "tc AS (SELECT doc_id::VARCHAR AS id, lang, text, source, n_chars AS n, n_chars % 11 = 0 AS confl, "
+    "array_to_string(ls[1:greatest(len(ls) - 1, 1)], ' ') AS question, lang = 'en' AS answerable, "
+    "CASE WHEN n_chars % 3 <> 0 THEN coalesce(ls[-1], '') END AS ea, (n_chars % 2 = 0)::INT AS g, "
+    "CASE WHEN n_chars % 5 = 0 THEN list_append(ls, 'length ' || n_chars) ELSE ls END AS facts, CASE "
+    "WHEN n_chars % 4 = 0 THEN 'multi_hop' WHEN n_chars % 4 = 1 THEN 'numerical_exact' END AS cat FROM w), "
     f"tn AS (SELECT *, {_strip('question')} AS nq, {_strip('coalesce(ea, chr(32))')} AS ne FROM tc)"
 )
 _RULES = [
@@ -528,9 +537,9 @@ _RULES = [
     ("ERROR", "CONFLICT_GOLD", "confl AND g < 2"),
 ]
 _FACT_RULE = (
-    f"SELECT id, 'WARNING', 'FACT_NOT_IN_GOLD' FROM (SELECT id, {_strip('text')} AS nt, "
-    f"{_strip('fact')} AS nf FROM tc WHERE answerable AND cat = 'numerical_exact' AND g = 1 AND "
-    rf"text <> '') z WHERE NOT (nf = '' OR contains(nt, nf) OR len(list_filter(string_split_regex("
+    f"SELECT DISTINCT id, 'WARNING', 'FACT_NOT_IN_GOLD' FROM (SELECT id, nt, {_strip('fact')} AS nf FROM (SELECT id, "
+    f"{_strip('text')} AS nt, unnest(facts) AS fact FROM tc WHERE answerable AND cat = 'numerical_exact' AND g = 1 AND "
+    rf"text <> '')) z WHERE NOT (nf = '' OR contains(nt, nf) OR len(list_filter(string_split_regex("
     rf"nf, '[{S.WS}.,/\-]+'), lambda t: length(t) >= 2)) = 0 OR len(list_filter(string_split_regex("
     rf"nf, '[{S.WS}.,/\-]+'), lambda t: length(t) >= 2 AND contains(nt, t)))::DOUBLE / "
     rf"len(list_filter(string_split_regex(nf, '[{S.WS}.,/\-]+'), lambda t: length(t) >= 2)) >= 0.8)"
@@ -567,7 +576,7 @@ def case_stats(spark: SparkSession, sf: str) -> DataFrame:
     "case_totals",
     f"WITH {_CASES} SELECT count(*) AS cases, count(*) FILTER (WHERE answerable) AS answerable, "
     "count(*) FILTER (WHERE n % 7 = 0) AS should_abstain, count(*) FILTER (WHERE n % 3 >= 2) "
-    "AS multi_step, count(*) FILTER (WHERE n % 10 = 0) AS with_distractors, count(*) AS with_facts, "
+    "AS multi_step, count(*) FILTER (WHERE n % 10 = 0) AS with_distractors, count(*) FILTER (WHERE len(facts) > 0) AS with_facts, "
     "0::BIGINT AS with_forbidden, 1.0::DOUBLE AS mean_gold FROM tc",
 )
 def case_totals(spark: SparkSession, sf: str) -> DataFrame:
