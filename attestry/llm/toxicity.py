@@ -1,23 +1,33 @@
-"""Toxicity: a support vector machine over a gap-weighted subsequence kernel.
-
-Two strings are alike by the letter triples they share as subsequences; a triple that spans more
-letters counts less, by a power of ``DECAY``, and one that spans more than ``SPAN`` letters not at
-all. An insult with characters put in or left out therefore stays close to itself. The kernel is
-normalised and approximated by Nystroem landmarks, on whose features a linear machine with squared
-hinge loss is trained. Since every landmark's triples are known, the trained machine folds into one
-weight for each triple, and a string is scored without visiting the landmarks.
-
-The strings are the words of sentences. Labels are given for texts only: a text is toxic if one of
-its sentences is, and a sentence if one of its words is, so a text's score is that of its worst
-word, and the positive words are those with letter groups that clean sentences don't have.
+"""Toxicity: a support vector machine over a gap-weighted subsequence kernel of sentence windows.
+
+Two strings are alike by the symbol triples they share as subsequences; a triple that spans more
+symbols counts less, by a power of ``DECAY``, and one that spans more than ``SPAN`` not at all. An
+insult with characters put in or left out, or split by spaces, therefore stays close to itself. Strings are
+windows that begin before each word of a sentence, whatever its language, and hold that word or, with
+the words behind it, ``WINDOW`` symbols:
+letters are symbols by their code points, hashed over ``SYMBOLS``, other characters are dropped,
+look-alikes inside words count as letters, white space is one symbol, and runs of single letters are
+joined. The kernel is approximated by Nystroem landmarks, drawn from toxic and clean windows, on whose
+features a linear machine with squared hinge loss is trained. Since every landmark's triples
+are known, the machine folds into one weight for each triple (hashed over ``BUCKETS``), and a text is
+scored in one pass over its symbols, without visiting landmarks.
+
+Labels are given for texts. A toxic text is a bag of windows of which some are toxic: the machine
+learns from the worst windows of toxic texts against the worst and some other windows of clean texts,
+and worst ones are chosen anew in every round. The first choice goes by the log odds of the
+windows' five-symbol groups, counted over texts; near copies count once, by their least hashes.
+A text's score is that of its worst window.
+
+Results for odd rows: null texts and texts without letters get the lowest score; texts of any length
+are read whole, in pieces that overlap; repeated rows score alike; an id with several labels is
+toxic if one of them is; without rows of both classes all texts score low; empty tables give no rows;
+other columns stay as they are.
 """
 
 from __future__ import annotations
 
-import math
-import unicodedata
 import zlib
-from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,81 +40,140 @@ from attestry.llm.common import append_columns, staged
 
 DECAY = 0.9
 SPAN = 6
-LENGTH = 24
-SYMBOLS = 32
-FLOOR = -1.0
-CACHE = 300_000
+WINDOW = 12
+SYMBOLS = 64
+BUCKETS = 1 << 16
+GROUP, GROUPS = 5, 1 << 18
+PIECE, OVERLAP = 1 << 20, 64
+FLOOR = -3.0
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
+#: The norm of a window by its length (texts may end before it), as if all its triples were different.
+NORMS = np.sqrt([
+    max(sum(max(n - a - b, 0) * DECAY ** (2 * (a + b + 1)) for a, b in GAPS), DECAY**6) for n in range(WINDOW + 1)
+])
+AFTER = 255
 #: Characters that stand for letters in disguised words.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 
-def folded(word: str) -> str:
-    """Letters of the word, lower case; look-alikes among letters count as the letters."""
-    word = word.lower()
-    if word.isalpha():
-        return word
-    word = word.strip(".,;:!?\"'()[]{}-")
-    if word.isalpha():
-        return word
-    if sum(c.isalpha() for c in word) >= 2:
-        word = "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFC", word))
-    return "".join(c for c in word if c.isalpha())
-
-
-def units(word: str) -> list[str]:
-    """The folded word; one longer than ``LENGTH`` becomes overlapping windows."""
-    word = folded(word)
-    if len(word) <= LENGTH:
-        return [word] if len(word) >= 3 else []
-    half = LENGTH // 2
-    return [word[i : i + LENGTH] for i in range(0, len(word) - half, half)]
-
-
-def words_of(text: str) -> list[str]:
-    """Words of the text, and what three or more single characters in a row spell."""
-    words = text.split()
-    marks = "".join("1" if len(w) == 1 else "0" for w in words)
-    at = marks.find("111")
-    while at >= 0:
-        end = at
-        while end < len(marks) and marks[end] == "1":
-            end += 1
-        words.append("".join(words[at:end]))
-        at = marks.find("111", end)
-    return words
-
-
-def matrix(strings: list[str]) -> np.ndarray:
-    """One row of symbol numbers (1..31, 0 after the end) for each string."""
-    rows = np.zeros((len(strings), LENGTH), dtype=np.int32)
-    for i, s in enumerate(strings):
-        codes = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-        rows[i, : len(codes)] = np.where((codes >= 97) & (codes < 123), codes - 96, 27 + codes % 5)
-    return rows
-
-
-def triples(rows: np.ndarray):
-    """For each pair of gaps: the codes of all triples and their weight; 0 if past the end."""
+def symbol(letter: str) -> int:
+    """1 to 26 for a to z, of both cases; other letters are hashed over the rest; 0 if it is none."""
+    if not letter.isalpha():
+        return 0
+    code = ord(letter.lower()[0])
+    return code - 96 if 97 <= code <= 122 else 27 + (code * 2654435761 >> 7) % (SYMBOLS - 27)
+
+
+BELOW = 0x3000
+LETTERS = np.array([symbol(chr(c)) for c in range(BELOW)], np.uint8)
+DISGUISED = np.array([symbol(LOOKALIKES[chr(c)]) if chr(c) in LOOKALIKES else 0 for c in range(128)], np.uint8)
+
+
+def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols in one array, each text followed by ``WINDOW`` zeros, and where those begin.
+
+    White space is 0. From ``BELOW`` on, where letters of most scripts have no case, every character counts as one.
+    """
+    joined = "".join(t.replace("\x00", " ") + "\x00" for t in texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    low = points < BELOW
+    sym = np.where(
+        low, LETTERS[np.where(low, points, 0)], 27 + (points.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(SYMBOLS - 27)
+    ).astype(np.uint8)
+    sign = np.where(points < 128, DISGUISED[np.minimum(points, 127)], 0)
+    before, after = np.r_[0, sym[:-1]], np.r_[sym[1:], 0]
+    sym = np.where((sym == 0) & (before > 0) & (after > 0), sign, sym).astype(np.uint8)
+    end = points == 0
+    space = ~end & ((points <= 32) | (points == 0xA0))
+    keep = (sym > 0) | space | end
+    sym, end = sym[keep], end[keep]
+    gap = sym == 0
+    sym, end = without(sym, end, gap & ~end & (np.r_[True, gap[:-1]] | np.r_[end[1:], False]))
+    # an end that follows a single letter and one that begins a text part words as well
+    borders = np.flatnonzero(sym == 0)
+    single = np.diff(np.r_[-1, borders]) == 2
+    inner = borders[:-1][single[:-1] & single[1:]] if len(borders) > 1 else borders[:0]
+    drop = np.zeros(len(sym), bool)
+    drop[inner] = True
+    sym, end = without(sym, end, drop & ~end)
+    ends = np.flatnonzero(end) + np.arange(end.sum()) * (WINDOW - 1) + 1
+    return np.r_[np.uint8(0), np.repeat(sym, np.where(end, WINDOW, 1))], ends
+
+
+def without(sym: np.ndarray, end: np.ndarray, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sym[~drop], end[~drop]
+
+
+def windows_of(sym: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of all windows: from the zero before each word to the one behind it, and of full length.
+
+    Both are at most ``WINDOW`` symbols and end with the zero that ends the text.
+    """
+    zeros = np.flatnonzero(sym == 0)
+    starts = zeros[:-1][sym[zeros[:-1] + 1] > 0] if len(zeros) else zeros
+    word = zeros[np.searchsorted(zeros, starts, side="right")] + 1 - starts if len(starts) else starts
+    full = ends[np.searchsorted(ends, starts, side="right")] + 1 - starts
+    return np.r_[starts, starts], np.minimum(np.r_[word, full], WINDOW)
+
+
+def hashed(code: np.ndarray) -> np.ndarray:
+    return (code * 0x9E3779B1 >> 9) & (BUCKETS - 1)
+
+
+def margins(sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each window's triples, over the window's norm."""
+    out = np.zeros(len(starts))
+    for at in range(0, len(sym), PIECE):
+        own = (starts >= at) & (starts < at + PIECE)
+        if not own.any():
+            continue
+        x = np.zeros(PIECE + WINDOW, np.int64)
+        part = sym[at : at + PIECE + WINDOW]
+        x[: len(part)] = part
+        x = x[: len(part) + WINDOW]
+        begin = starts[own] - at
+        total = np.zeros(len(begin))
+        for a, b in GAPS:
+            n = len(x) - a - b
+            sums = np.r_[0.0, np.cumsum(weights[hashed((x[:n] * SYMBOLS + x[a : a + n]) * SYMBOLS + x[a + b :])])]
+            stop = begin + np.maximum(lengths[own] - a - b, 0)
+            total += DECAY ** (a + b + 1) * (sums[stop] - sums[begin])
+        out[own] = total / NORMS[lengths[own]]
+    return out
+
+
+def group_codes(sym: np.ndarray) -> np.ndarray:
+    n = max(0, len(sym) - GROUP + 1)
+    code = np.zeros(n, np.int64)
+    for k in range(GROUP):
+        code = code * SYMBOLS + sym[k : k + n]
+    return (code * 0x9E3779B1 >> 11) & (GROUPS - 1)
+
+
+def group_margins(sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The greatest log odds of each window's groups."""
+    own = np.r_[odds[group_codes(sym)], np.full(WINDOW, odds.min())]
+    out = np.full(len(starts), odds.min())
+    for k in range(WINDOW - GROUP + 1):
+        inside = lengths >= k + GROUP
+        out[inside] = np.maximum(out[inside], own[np.minimum(starts[inside] + k, len(own) - 1)])
+    return out
+
+
+def features(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window number, bucket, weight) of all triples, over the norm; ``AFTER`` lies behind a text."""
+    x = windows.astype(np.int64)
+    norm = NORMS[(windows != AFTER).sum(axis=1)]
+    rows, codes, weights = [], [], []
     for a, b in GAPS:
-        first, second, third = rows[:, : -(a + b)], rows[:, a:-b], rows[:, a + b :]
-        codes = (first * SYMBOLS + second) * SYMBOLS + third
-        yield np.where(third > 0, codes, 0), DECAY ** (a + b + 1)
-
-
-def features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string number, code, weight) of the summed triples, scaled so that each string has norm 1."""
-    keys, weights = [], []
-    base = np.arange(len(rows), dtype=np.int64)[:, None] * SYMBOLS**3
-    for codes, weight in triples(rows):
-        used = codes > 0
-        keys.append((base + codes)[used])
-        weights.append(np.full(len(keys[-1]), weight))
-    flat, at = np.unique(np.concatenate(keys), return_inverse=True)
-    value = np.bincount(at, weights=np.concatenate(weights), minlength=len(flat))
-    owner = flat // SYMBOLS**3
-    norm = np.sqrt(np.bincount(owner, weights=value * value, minlength=len(rows)))
-    return owner, flat % SYMBOLS**3, value / norm[owner]
+        n = WINDOW - a - b
+        code = hashed((x[:, :n] * SYMBOLS + x[:, a : a + n]) * SYMBOLS + x[:, a + b :])
+        inside = x[:, a + b :] != AFTER
+        row = np.broadcast_to(np.arange(len(x))[:, None], code.shape)[inside]
+        rows.append(row)
+        codes.append(code[inside])
+        weights.append(DECAY ** (a + b + 1) / norm[row])
+    return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
 @dataclass
@@ -113,164 +182,175 @@ class Model:
 
     weights: np.ndarray | None = None
     bias: float = FLOOR
-    slope: float = 4.0
+    slope: float = 6.0
     offset: float = 0.0
 
-    def margins(self, strings: list[str]) -> np.ndarray:
-        """The machine's value for each string, not below ``FLOOR``."""
-        out = np.full(len(strings), FLOOR)
-        if self.weights is None or not strings:
-            return out
-        rows = matrix(strings)
-        top, squares = np.zeros(len(rows)), np.zeros(len(rows))
-        for codes, weight in triples(rows):
-            top += weight * self.weights.take(codes).sum(axis=1)
-            squares += weight * weight * (codes > 0).sum(axis=1)
-        # the norm is at least the root of the squares, so only these can rise above the floor
-        near = np.flatnonzero((top > 0) & (top / np.sqrt(np.maximum(squares, 1e-12)) + self.bias > FLOOR))
-        if len(near):
-            owner, code, value = features(rows[near])
-            exact = np.bincount(owner, weights=value * self.weights[code], minlength=len(near)) + self.bias
-            out[near] = np.maximum(exact, FLOOR)
-        return out
+    def windows(self, sym: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.maximum(margins(sym, starts, lengths, self.weights) + self.bias, FLOOR)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
 
-
-class Scorer:
-    """The worst margin of each text; margins of words are remembered, up to ``CACHE`` of them."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        split = [words_of(t) if t else [] for t in texts]
-        out = []
-        for start in range(0, len(split), 64):
-            part = split[start : start + 64]
-            self._learn(part)
-            known = self.known
-            out += [max(map(known.__getitem__, words), default=FLOOR) for words in part]
+    def worst(self, texts: list[str | None]) -> np.ndarray:
+        """The margin of the worst window of each text."""
+        out = np.full(len(texts), FLOOR)
+        if self.weights is None:
+            return out
+        for numbers, parts in batches_of(texts):
+            sym, ends = encoded(parts)
+            starts, lengths = windows_of(sym, ends)
+            if len(starts):
+                owner = np.asarray(numbers)[np.searchsorted(ends, starts, side="right")]
+                np.maximum.at(out, owner, self.windows(sym, starts, lengths))
         return out
 
-    def _learn(self, part: list[list[str]]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({w for words in part for w in words if w not in self.known})
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            own = [units(w) for w in some]
-            margins = iter(self.model.margins([u for us in own for u in us]).tolist())
-            for w, us in zip(some, own):
-                self.known[w] = max((next(margins) for _ in us), default=FLOOR)
-
-
-def groups_of(word: str) -> set[str]:
-    """Four-letter groups of the word with its ends marked."""
-    marked = f"<{word}>"
-    return {marked[i : i + 4] for i in range(max(1, len(marked) - 3))}
-
-
-def evidence(pos: float, neg: float, share: float) -> float:
-    """Log-likelihood ratio of a group's counts when ``share`` of all texts are toxic."""
-    both = pos + neg
-    ratio = pos * math.log(pos / (both * share)) if pos else 0.0
-    return 2 * (ratio + (neg * math.log(neg / (both * (1 - share))) if neg else 0.0))
-
 
-def candidate_groups(counts: list[tuple[str, int, int]], share: float, least: float) -> dict[str, int]:
-    """Groups almost absent from clean texts whose counts tell, and their clean counts."""
-    pos, neg = defaultdict(int), defaultdict(int)
-    for word, p, n in counts:
-        for g in groups_of(word):
-            pos[g] += p
-            neg[g] += n
-    return {g: neg[g] for g, p in pos.items() if neg[g] <= 0.01 * p and evidence(p, neg[g], share) >= least}
+def batches_of(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
+    """(numbers of the texts, texts or pieces of them) of about ``size`` characters.
 
-
-def sketch(words: list[str], size: int = 32) -> list[int]:
-    """The smallest hashes of the words; near copies share most of them."""
-    return sorted(zlib.crc32(w.encode("utf-8")) for w in words)[:size]
-
-
-def telling_groups(candidates: dict[str, int], toxic: list[tuple[list[str], list[int]]], share: float,
-                   least: float) -> set[str]:
-    """Candidates whose evidence holds when near copies count once.
-
-    ``toxic`` has, for each toxic text, its candidate groups and its sketch. The texts of a group
-    count as many as their sketches have distinct values, in units of a sketch.
+    Longer texts are cut at white space, if there is any, and pieces begin ``OVERLAP`` characters early.
     """
-    values, texts = defaultdict(set), defaultdict(int)
-    for groups, marks in toxic:
-        for g in groups:
-            values[g].update(marks)
-            texts[g] += len(marks)
-    size = max((len(m) for _, m in toxic), default=1)
-    return {g for g in values if evidence(len(values[g]) / size, candidates[g], share) >= least}
-
-
-def fit(counts: list[tuple[str, int, int]], telling: set[str], landmarks: int = 128,
-        clean_words: int = 20_000, toxic_words: int = 4_000, penalty: float = 1e-4) -> Model:
-    """Train on the words of labelled sentences, given as (word, toxic texts, clean texts) counts."""
-    found = {w: p for w, p, n in counts if p and not n and groups_of(w) & telling}
-    toxic = sorted(found, key=lambda w: (-found[w], w))[:toxic_words]
-    by_use = sorted(((w, n) for w, _, n in counts if n), key=lambda x: (-x[1], x[0]))
-    step = max(1, len(by_use) // clean_words)
-    clean = [w for w, _ in by_use[: clean_words // 4]] + [w for w, _ in by_use[clean_words // 4 :: step]][:clean_words]
-    if not toxic or not clean:
-        return Model()
-    words = toxic + clean
-    owner, code, value = features(matrix(words))
-    y = np.where(np.arange(len(words)) < len(toxic), 1.0, -1.0)
-    chosen = np.r_[np.arange(min(landmarks, len(toxic))),
-                   len(toxic) + np.unique(np.linspace(0, len(clean) - 1, min(landmarks, len(clean))).astype(int))]
-    marks = np.zeros((len(chosen), SYMBOLS**3))
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    own = place[owner] >= 0
-    marks[place[owner[own]], code[own]] = value[own]
-    kernel = np.empty((len(words), len(chosen)))
+    numbers, parts, n = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            cut = len(text)
+            if cut - at > size:
+                space = text.rfind(" ", at + size // 2, at + size)
+                cut = space if space > 0 else at + size
+            early = max(0, text.rfind(" ", 0, max(0, at - OVERLAP))) if at else 0
+            part = text[max(early, at - 2 * OVERLAP) : cut]
+            if n and n + len(part) > size:
+                yield numbers, parts
+                numbers, parts, n = [], [], 0
+            numbers.append(i)
+            parts.append(part)
+            n += len(part) + WINDOW
+            at = cut
+    if numbers:
+        yield numbers, parts
+
+
+def fit(toxic: np.ndarray, clean: np.ndarray, landmarks: int = 384, penalty: float = 1e-4) -> Model:
+    """Train on windows (rows of symbols) of both classes, which weigh the same in all."""
+    windows = np.concatenate([toxic, clean])
+    y = np.where(np.arange(len(windows)) < len(toxic), 1.0, -1.0)
+
+    def spread(first: int, n: int) -> np.ndarray:
+        return first + np.unique(np.linspace(0, n - 1, min(landmarks // 2, n)).astype(int))
+
+    chosen = np.r_[spread(0, len(toxic)), spread(len(toxic), len(clean))]
+    owner, code, value = features(windows)
+    own_owner, own_code, own_value = features(windows[chosen])
+    marks = np.zeros((len(chosen), BUCKETS), np.float32)
+    np.add.at(marks, (own_owner, own_code), own_value)
+    kernel = np.empty((len(windows), len(chosen)))
     for j in range(len(chosen)):
-        kernel[:, j] = np.bincount(owner, weights=value * marks[j][code], minlength=len(words))
-    values, vectors = np.linalg.eigh(kernel[chosen])
+        kernel[:, j] = np.bincount(owner, weights=value * marks[j][code], minlength=len(windows))
+    values, vectors = np.linalg.eigh((kernel[chosen] + kernel[chosen].T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    x = np.c_[kernel @ root, np.ones(len(words))]
+    x = np.c_[kernel @ root, np.ones(len(windows))]
     weight = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps of the squared hinge loss
+    for _ in range(40):  # Newton steps of the squared hinge loss
         slack = np.maximum(0, 1 - y * (x @ w))
         active = slack > 0
         xa, ca = x[active], weight[active]
         grad = penalty * w - xa.T @ (ca * y[active] * slack[active])
-        step_to = np.linalg.solve(penalty * np.eye(len(w)) + xa.T @ (ca[:, None] * xa), grad)
-        w -= step_to
-        if np.abs(step_to).max() < 1e-6:
+        step = np.linalg.solve(penalty * np.eye(len(w)) + xa.T @ (ca[:, None] * xa), grad)
+        w -= step
+        if np.abs(step).max() < 1e-6:
             break
-    folded_weights = (root @ w[:-1]) @ marks
-    return Model(folded_weights.astype(np.float64), float(w[-1]))
+    return Model(((root @ w[:-1]) @ marks).astype(np.float64), float(w[-1]))
 
 
-def calibrate(model: Model, margins: np.ndarray, toxic: np.ndarray, slope: float = 6.0) -> Model:
-    """Put 0.5 where labelled texts part best, a clean text above it counting three times."""
-    if not len(margins) or toxic.all() or not toxic.any():
+def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> Model:
+    """Put 0.5 where labelled texts part best, a share of clean texts above it counting sixteen times."""
+    if not len(worst) or toxic.all():
         return model
-    order = np.argsort(-margins, kind="stable")
+    order = np.argsort(-worst, kind="stable")
     hit, miss = np.cumsum(toxic[order]) / toxic.sum(), np.cumsum(~toxic[order]) / (~toxic).sum()
-    ends = np.append(margins[order][:-1] > margins[order][1:], True)  # not between equal margins
-    best = int(np.argmax(np.where(ends, hit - 3 * miss, -np.inf)))
-    low = margins[order[best + 1]] if best + 1 < len(order) else FLOOR
-    middle = low + 0.35 * (margins[order[best]] - low)  # nearer the clean side, for disguised words
-    return Model(model.weights, model.bias, slope, float(-slope * middle))
+    ends = np.append(worst[order][:-1] > worst[order][1:], True)  # not between equal margins
+    best = int(np.argmax(np.where(ends, hit - 16 * miss, -np.inf)))
+    low = worst[order[best + 1]] if best + 1 < len(order) else FLOOR
+    middle = low + 0.8 * (worst[order[best]] - low)
+    return Model(model.weights, model.bias, model.slope, float(-model.slope * middle))
+
+
+def chosen_windows(sample: DataFrame, rate: Callable[..., np.ndarray], near: float = 0.9) -> tuple:
+    """(windows of toxic texts, windows of clean texts, worst margins, toxic, held back) by the margins ``rate``.
+
+    Of a toxic text the worst window and up to five others that come ``near`` it, of a clean one the three
+    worst and one drawn by its id's hash. No window is taken of a fourth of the clean texts, which is held
+    back to set the threshold. The sample is bounded, and so is what returns.
+    """
+    schema = "doc_id string, toxic boolean, place int, margin double, symbols binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, toxic, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sym = np.frombuffer(raw, np.uint8)
+                starts, lengths = windows_of(sym, np.array([len(sym) - WINDOW]))
+                if not len(starts):
+                    rows.append((name, toxic, 0, FLOOR, bytes(WINDOW)))
+                    continue
+                rated = rate(sym, starts, lengths)
+                order = np.argsort(-rated, kind="stable")[:6]
+                picked = [i for i in order if rated[i] >= rated[order[0]] - near] if toxic else [
+                    *order[:3], zlib.crc32(name.encode()) % len(starts)
+                ]
+                for k, i in enumerate(picked):
+                    window = sym[starts[i] : starts[i] + lengths[i]].tobytes()
+                    rows.append((name, toxic, k, float(rated[i]), window.ljust(WINDOW, bytes([AFTER]))))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.string(), pa.bool_(), pa.int32(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["doc_id", "toxic", "place", "margin", "symbols"],
+            )
+
+    got = sample.select("doc_id", "toxic", "symbols").mapInArrow(run, schema).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("place", "ascending")])
+    toxic = np.array(got["toxic"].to_pylist(), bool)
+    windows = np.frombuffer(b"".join(got["symbols"].to_pylist()), np.uint8).reshape(-1, WINDOW)
+    first = np.array(got["place"].to_pylist()) == 0
+    margin = np.array(got["margin"].to_pylist(), float)
+    some = windows.any(axis=1)
+    held = ~toxic & np.array([zlib.crc32(n.encode()) % 4 == 3 for n in got["doc_id"].to_pylist()], bool)
+    return windows[toxic & some], windows[~toxic & some & ~held], margin[first], toxic[first], held[first]
+
+
+def group_odds(sample: DataFrame) -> np.ndarray:
+    """Cautious log odds of toxic over clean texts with each group: less than the estimate by 1.5 deviations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, GROUPS), np.int64)
+        for batch in batches:
+            for toxic, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[int(toxic)][np.unique(group_codes(np.frombuffer(raw, np.uint8)))] += 1
+        used = np.flatnonzero(counts.any(axis=0))
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(counts[1][used]), pa.array(counts[0][used])], names=["code", "pos", "neg"]
+            )
+
+    parts = sample.select("toxic", "symbols").mapInArrow(run, "code int, pos long, neg long")
+    sums = parts.groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    pos, neg = np.full(GROUPS, 0.5), np.full(GROUPS, 0.5)
+    code = sums["code"].to_numpy()
+    pos[code] += sums["pos"].to_numpy()
+    neg[code] += sums["neg"].to_numpy()
+    return np.log(pos / neg) - 1.5 * np.sqrt(1 / pos + 1 / neg)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int = 2_000, most_clean: int = 8_000,
-          least: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+          rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on about ``most_toxic`` and ``most_clean`` labelled rows whose ids are ``usable``.
 
-    Rows are drawn by a hash of their id, at a rate set by the size of the class. An id with
-    several labels is toxic if one of them is. Without rows of both classes all texts score low.
+    Rows are drawn by a hash of their id, at a rate set by the size of the class, and read whole. Of rows of
+    one class whose texts have the same two least group hashes, as near copies mostly do, one is used.
     """
     marked = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
@@ -284,61 +364,41 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most_toxic: int =
     drawn = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(drawn), "doc_id"
-    )
-
-    def distinct_words(batch: pa.RecordBatch) -> list:
-        texts = batch.column(1).to_pylist()
-        return [pa.array([sorted({u for w in words_of(t or "") for u in units(w)}) for t in texts],
-                         pa.list_(pa.string()))]
-
-    fields = [T.StructField("words", T.ArrayType(T.StringType()))]
-    sample = staged(append_columns(sample, fields, distinct_words, drop=("text",)))
-    per_word = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum(F.col("toxic").cast("int")).alias("pos"), F.sum((~F.col("toxic")).cast("int")).alias("neg")
-    )
-    local = per_word.toArrow().sort_by("word")
-    counts = list(zip(local["word"].to_pylist(), local["pos"].to_pylist(), local["neg"].to_pylist()))
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = n.get(True, 0) / max(1, sum(n.values()))
-    if not 0 < share < 1:
+    ).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")
+
+    def read_symbols(batch: pa.RecordBatch) -> list:
+        made, marks = [], []
+        for text in batch.column(2).to_pylist():
+            sym, _ = encoded([text or ""])
+            least = np.unique(group_codes(sym) * 0x85EBCA6B & 0xFFFFFFFF)[:2]
+            made.append(sym.tobytes())
+            marks.append(least.tobytes())
+        return [pa.array(made, pa.binary()), pa.array(marks, pa.binary())]
+
+    fields = [T.StructField("symbols", T.BinaryType()), T.StructField("mark", T.BinaryType())]
+    sample = append_columns(sample, fields, read_symbols, drop=("text",))
+    sample = staged(sample.groupBy("toxic", "mark").agg(F.min(F.struct("doc_id", "symbols")).alias("d")).select(
+        "toxic", "d.doc_id", "d.symbols"
+    ))
+    odds = group_odds(sample)
+    toxic, clean, *_ = chosen_windows(sample, lambda *window: group_margins(*window, odds), 2.0)
+    if not len(toxic) or not len(clean):
         return Model()
-    candidates = candidate_groups(counts, share, least)
-    names = frozenset(candidates)
-
-    def marks(batch: pa.RecordBatch) -> list:
-        lists = batch.column(batch.schema.get_field_index("words")).to_pylist()
-        return [pa.array([sorted(names & {g for w in ws for g in groups_of(w)}) for ws in lists], pa.list_(pa.string())),
-                pa.array([sketch(ws) for ws in lists], pa.list_(pa.int64()))]
-
-    fields = [T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    seen = append_columns(sample.filter("toxic"), fields, marks, drop=("words",)).select("groups", "sketch").toArrow()
-    telling = telling_groups(candidates, list(zip(seen["groups"].to_pylist(), seen["sketch"].to_pylist())), share, least)
-    model = fit(counts, telling)
-    if model.weights is None:
-        return model
-
-    def worst(batch: pa.RecordBatch) -> list:
-        lists = batch.column(batch.schema.get_field_index("words")).to_pylist()
-        return [pa.array([float(model.margins(ws).max()) if ws else FLOOR for ws in lists], pa.float64())]
-
-    scored = append_columns(sample, [T.StructField("margin", T.DoubleType())], worst, drop=("words",))
-    got = scored.select("toxic", "margin").toArrow()
-    return calibrate(model, np.array(got["margin"]), np.array(got["toxic"].to_pylist(), dtype=bool))
+    seen = clean
+    for _ in range(rounds):
+        model = fit(toxic, seen)
+        toxic, clean, worst, is_toxic, held = chosen_windows(sample, model.windows)
+        seen = np.concatenate([seen, clean])[-3 * most_clean - len(clean) :]
+    told = is_toxic | held if held.any() else is_toxic | True
+    return calibrate(model, worst[told], is_toxic[told])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score",
           drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the probability, 0 to 1, that the whole text is toxic.
-
-    Null texts and texts without words of three letters get the lowest score. Rows and other
-    columns stay as they are; an empty table gives no rows.
-    """
+    """``docs`` with the probability, 0 to 1, that the whole text is toxic."""
     at = docs.columns.index(text_col)
-    holder: list[Scorer] = []
 
     def scored(batch: pa.RecordBatch) -> list:
-        if not holder:
-            holder.append(Scorer(model))
-        return [pa.array(model.probability(np.array(holder[0](batch.column(at).to_pylist()))), pa.float64())]
+        return [pa.array(model.probability(model.worst(batch.column(at).to_pylist())), pa.float64())]
 
     return append_columns(docs, [T.StructField(out, T.DoubleType())], scored, drop)
