@@ -81,10 +81,17 @@ def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         low, LETTERS[np.where(low, points, 0)], 27 + (points.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(SYMBOLS - 27)
     ).astype(np.uint8)
     sign = np.where(points < 128, DISGUISED[np.minimum(points, 127)], 0)
-    before, after = np.r_[0, sym[:-1]], np.r_[sym[1:], 0]
-    sym = np.where((sym == 0) & (before > 0) & (after > 0), sign, sym).astype(np.uint8)
     end = points == 0
     space = ~end & ((points <= 32) | (points == 0xA0))
+    # look-alikes count before a word's last letter, in words with two letters or more
+    if sign.any():
+        word, letters = np.cumsum(space | end), np.flatnonzero(sym)
+        last = np.full(word[-1] + 1, -1)
+        np.maximum.at(last, word[letters], letters)
+        enough = np.bincount(word[letters], minlength=len(last)) >= 2
+        at = np.flatnonzero((sign > 0) & (sym == 0))
+        at = at[enough[word[at]] & (at < last[word[at]])]
+        sym[at] = sign[at]
     keep = (sym > 0) | space | end
     sym, end = sym[keep], end[keep]
     gap = sym == 0

@@ -439,18 +439,22 @@ def test_pieces_of_long_texts_hold_every_subword(monkeypatch):
     assert set(whole.tolist()) == set(parts.tolist())
 
 
-def test_toxicity_on_held_out_english_rows(spark):
-    docs, labels = small(spark, "documents"), small(spark, "labels")
+def test_toxicity_on_held_out_rows_of_every_language(spark):
+    """Recall of 0.8 in each language with 15 or more toxic held-out rows, and few false alarms."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
-    held = toxicity.score(docs.filter("lang = 'en'"), model).join(labels, "doc_id").filter(fold(F.col("doc_id"), 5) == 0)
-    rows = held.select("toxic", "score").collect()
-    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in rows) and {r["toxic"] for r in rows} == {0, 1}
-    scorer = toxicity.Scorer(model)
-    clean, plain, gapped, spelled, looks = scorer(["the nation", "you idiot", "you i-d-i-o-t", "you i d i o t", "you 1d10t"])
-    assert clean < 0 < min(plain, gapped, spelled, looks)
-    windows = toxicity.units("q" * 5000 + "idiot" + "r" * 5000)
-    assert any("idiot" in w for w in windows) and max(map(len, windows)) <= toxicity.LENGTH
-    assert toxicity.Model().margins(["idiot"]).tolist() == [toxicity.FLOOR]
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL")
+    held = docs.filter(fold(F.col("doc_id"), 5) == 0).join(truth, "doc_id")
+    rows = toxicity.score(held, model).select("lang", "toxic", "score").collect()
+    for lang in {r["lang"] for r in rows}:
+        toxic = [r["score"] >= 0.5 for r in rows if r["lang"] == lang and r["toxic"]]
+        if len(toxic) >= 15:
+            assert np.mean(toxic) >= 0.8, lang
+    assert np.mean([r["score"] >= 0.5 for r in rows if not r["toxic"]]) <= 0.05
+    texts = ["you idiot", "you i.d.i.o.t", "you i d i o t", "you 1d10t", "such a mor-on", "q" * 2_000_000 + " idiot " + "r " * 100_000]
+    assert (model.probability(model.worst(texts)) >= 0.5).all()
+    assert model.probability(model.worst(["the nation", "", None, "12 34", "word " * 300_000])).max() < 0.5
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
@@ -463,26 +467,42 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score(none, model, out="toxicity").count() == 0
 
 
+def test_windows_hold_words_and_what_follows():
+    sym, ends = toxicity.encoded(["Ab  c.d!\tEf", None or "", "i d i o t x", "x\x00y"])
+    starts, lengths = toxicity.windows_of(sym, ends)
+    texts = ["".join(chr(96 + c) if c else "_" for c in sym[s : s + n]) for s, n in zip(starts, lengths)]
+    half = len(texts) // 2
+    assert texts[:half] == ["_ab_", "_cd_", "_ef_", "_idiotx_", "_xy_"]
+    assert texts[half:] == ["_ab_cd_ef_", "_cd_ef_", "_ef_", "_idiotx_", "_xy_"]
+
+
 def test_folded_kernel_is_the_kernel():
     rng = np.random.default_rng(2)
-    words = ["".join(rng.choice(list("abcde"), int(rng.integers(3, 12)))) for _ in range(40)]
-
-    def vector(word):
-        out = defaultdict(float)
-        for i, j, k in itertools.combinations(range(len(word)), 3):
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9)))) for _ in range(4)) for _ in range(30)]
+    sym, ends = toxicity.encoded(texts)
+    starts, lengths = toxicity.windows_of(sym, ends)
+    windows = np.full((len(starts), toxicity.WINDOW), toxicity.AFTER, np.uint8)
+    for i, (s, n) in enumerate(zip(starts, lengths)):
+        windows[i, :n] = sym[s : s + n]
+
+    def vector(window):
+        out, x = defaultdict(float), [int(c) for c in window if c != toxicity.AFTER]
+        for i, j, k in itertools.combinations(range(len(x)), 3):
             if k - i + 1 <= toxicity.SPAN:
-                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+                code = np.array([(x[i] * toxicity.SYMBOLS + x[j]) * toxicity.SYMBOLS + x[k]], np.int64)
+                out[int(toxicity.hashed(code)[0])] += toxicity.DECAY ** (k - i + 1)
         return out
 
-    owner, code, value = toxicity.features(toxicity.matrix(words))
-    dense = np.zeros((len(words), toxicity.SYMBOLS**3))
-    dense[owner, code] = value
-    for a, b in itertools.combinations(range(len(words)), 2):
-        x, y = vector(words[a]), vector(words[b])
-        want = sum(x[u] * y.get(u, 0) for u in x) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-        assert abs(dense[a] @ dense[b] - want) < 1e-9
-    model = toxicity.Model(rng.normal(size=toxicity.SYMBOLS**3), 0.1)
-    assert np.allclose(model.margins(words), np.maximum(dense @ model.weights + 0.1, toxicity.FLOOR))
+    owner, code, value = toxicity.features(windows)
+    weights = rng.normal(size=toxicity.BUCKETS)
+    dense = np.bincount(owner, weights=value * weights[code], minlength=len(windows))
+    assert np.allclose(toxicity.margins(sym, starts, lengths, weights), dense)
+    for w in range(0, len(windows), 7):
+        got = np.zeros(toxicity.BUCKETS)
+        np.add.at(got, code[owner == w], value[owner == w])
+        want = vector(windows[w])
+        norm = toxicity.NORMS[(windows[w] != toxicity.AFTER).sum()]
+        assert np.allclose([got[c] * norm for c in want], list(want.values())) and (got > 0).sum() == len(want)
 
 
 # mixing

@@ -20,7 +20,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_stages_take_effect_and_keep_clean_rows(spark):
