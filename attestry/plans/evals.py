@@ -149,16 +149,16 @@ def _strip(e: str) -> str:
     )
 
 
-def _sentence_cte(back: int) -> str:
+def _sentence_cte(back: int, p: str = "") -> str:
     return (
-        "pt AS (SELECT a.answer_id AS case_id, a.answer, t.text FROM ans a JOIN turns t "
+        f"{p}pt AS (SELECT a.answer_id AS case_id, a.answer, t.text FROM ans a JOIN turns t "
         f"ON t.conv_id = a.conv_id AND t.turn = a.turn - {back}), "
-        r"pl AS (SELECT case_id, answer, unnest(string_split_regex(text, '\n+')) AS line FROM pt), "
-        f"pp AS (SELECT case_id, answer, unnest(CASE WHEN regexp_matches({S.trim('line')}, '^#{{1,6}}[{S.WS}]') "
-        f"THEN [{S.trim('line')}] ELSE string_split({A._SPLIT}, chr(1)) END) AS p FROM pl), "
-        f"sn AS (SELECT case_id, {_strip('answer')} AS na, {_strip('p')} AS nf FROM pp WHERE {S.trim('p')} <> ''), "
-        "tk AS (SELECT *, list_filter(string_split_regex(nf, "
-        rf"'[{S.WS}.,/\-]+'), lambda t: length(t) >= 2) AS ts FROM sn)"
+        rf"{p}pl AS (SELECT case_id, answer, unnest(string_split_regex(text, '\n+')) AS line FROM {p}pt), "
+        f"{p}pp AS (SELECT case_id, answer, unnest(CASE WHEN regexp_matches({S.trim('line')}, '^#{{1,6}}[{S.WS}]') "
+        f"THEN [{S.trim('line')}] ELSE string_split({A._SPLIT}, chr(1)) END) AS p FROM {p}pl), "
+        f"{p}sn AS (SELECT case_id, {_strip('answer')} AS na, {_strip('p')} AS nf FROM {p}pp WHERE {S.trim('p')} <> ''), "
+        f"{p}tk AS (SELECT *, list_filter(string_split_regex(nf, "
+        rf"'[{S.WS}.,/\-]+'), lambda t: length(t) >= 2) AS ts FROM {p}sn)"
     )
 
 
@@ -183,15 +183,20 @@ def required_fact_recall(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "forbidden_claim_rate",
-    f"WITH {A._ANS}, {_sentence_cte(2)}, kp AS (SELECT *, list_filter(ts, lambda t: NOT "
-    f"list_contains({S.text_list(E.fixed.FACT_STOP_WORDS)}, t)) AS ks FROM tk) SELECT case_id, "
+_FORBIDDEN = (
+    f"{_sentence_cte(2, 'f_')}, kp AS (SELECT *, list_filter(ts, lambda t: NOT "
+    f"list_contains({S.text_list(E.fixed.FACT_STOP_WORDS)}, t)) AS ks FROM f_tk), forb AS (SELECT case_id, "
     + S.js_round(
         "avg(CASE WHEN nf <> '' AND (contains(na, nf) OR (len(ks) > 0 AND regexp_matches(na, "
         r"array_to_string(ks, '(?:\s+\S+){0,2}\s+')))) THEN 1.0::DOUBLE ELSE 0 END)"
     )
-    + " AS forbidden_claim_rate FROM kp GROUP BY 1",
+    + " AS forbidden_claim_rate FROM kp GROUP BY 1)"
+)
+
+
+@query(
+    "forbidden_claim_rate",
+    f"WITH {A._ANS}, {_FORBIDDEN} SELECT case_id, forbidden_claim_rate FROM forb",
 )
 def forbidden_claim_rate(spark: SparkSession, sf: str) -> DataFrame:
     """No sentence of the answer before may be repeated."""
@@ -211,7 +216,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         key, F.col("chunk_id").alias("item"), "valid"
     )
     citations = E.citation_metrics(cites, gold(spark, sf), ["case_id"])
-    facts = required_fact_recall(spark, sf)
+    facts = required_fact_recall(spark, sf).join(
+        forbidden_claim_rate(spark, sf), "case_id", "full_outer"
+    )
     lex = A.lexical(spark, sf).select(
         key, F.col("ratio").alias("correctness"), F.length("answer").alias("_len")
     )
@@ -237,6 +244,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         outcomes.select(*keys, "claim_support_rate", "claim_hallucination_rate", "faithfulness"),
         outcomes.select(*keys, "citation_valid_rate", "citation_accuracy"),
         outcomes.select(*keys, "required_fact_recall"),
+        outcomes.select(*keys, "forbidden_claim_rate"),
     )
 
 
@@ -252,15 +260,15 @@ cc AS (SELECT c.case_id, {S.js_round("avg((c.item IS NOT NULL)::INT)")} AS vr,
   coalesce({S.js_round("avg((g.item IS NOT NULL)::INT) FILTER (WHERE c.item IS NOT NULL)")}, 0) AS ca
   FROM ci c LEFT JOIN gold g ON g.case_id = c.case_id AND g.item = c.item GROUP BY 1),
 {A._LEX[len(A._ANS) + 2:]},
-{_FACTS},
+{_FACTS}, {_FORBIDDEN},
 sc AS (SELECT rm.*, gold_size > 0 AS answerable, lex.ratio AS correctness, sr, hr, fa, vr,
-  CASE WHEN gold_size > 0 THEN coalesce(ca, 0) END AS ca, required_fact_recall AS rf,
+  CASE WHEN gold_size > 0 THEN coalesce(ca, 0) END AS ca, required_fact_recall AS rf, forbidden_claim_rate AS fo,
   CASE WHEN sr >= 0.5 THEN 'GROUNDED' WHEN sr > 0 THEN 'PARTIALLY_GROUNDED'
     ELSE 'INSUFFICIENT_EVIDENCE' END AS status,
   length(answer) * CASE WHEN run_id = 'oldest' THEN 1.6::DOUBLE ELSE 1 END AS latency_ms,
   length(answer) * 1e-6::DOUBLE AS cost
   FROM rm JOIN lex ON lex.answer_id = rm.case_id LEFT JOIN cm USING (case_id)
-  LEFT JOIN cc USING (case_id) LEFT JOIN facts USING (case_id)),
+  LEFT JOIN cc USING (case_id) LEFT JOIN facts USING (case_id) LEFT JOIN forb USING (case_id)),
 fl AS (SELECT *, status = 'INSUFFICIENT_EVIDENCE' AS declined, CASE
   WHEN NOT answerable THEN CASE WHEN status <> 'INSUFFICIENT_EVIDENCE'
     THEN 'GENERATION_HALLUCINATION' END
@@ -307,6 +315,7 @@ _METRICS = [
     ("faithfulness", S.js_round("avg(fa)")),
     ("claimLevelHallucinationRate", S.js_round("avg(hr)")),
     ("requiredFactRecall", S.js_round("avg(rf) FILTER (WHERE answerable)")),
+    ("forbiddenClaimRate", S.js_round("avg(fo)")),
     ("hallucinationRateProxy", S.js_round("avg(hallu::INT)")),
     ("avgLatencyMs", "floor(avg(latency_ms) + 0.5)::DOUBLE"),
     ("totalCost", S.js_round("sum(cost)")),

@@ -79,6 +79,10 @@ def media_type(mime: Column) -> Column:
     return T.js_trim(F.split(mime, ";")[0])
 
 
+#: Parsers by media type that were registered besides the built-in ones.
+ROUTES: dict[str, str] = {}
+
+
 def route_by_mime(df: DataFrame, mime: str = "mime_type", office: bool = False) -> DataFrame:
     """``parser`` per row, or ``parse_error`` instead of a failed job.
 
@@ -91,6 +95,8 @@ def route_by_mime(df: DataFrame, mime: str = "mime_type", office: bool = False)
         .when(base.isin(fixed.TEXT_MIME), "plaintext")
         .when(base.isin(fixed.HTML_MIME), "html")
     )
+    for media, name in ROUTES.items():
+        parser = F.when(base == media, name).otherwise(parser)
     error = F.when(parser.isNotNull(), None).when(is_office, "PARSER_UNAVAILABLE").otherwise(
         "UNSUPPORTED_MIME"
     )
@@ -136,19 +142,26 @@ def html_to_text(html: Column | str) -> Column:
     return T.js_trim(text)
 
 
-def parse_documents(df: DataFrame) -> DataFrame:
-    """S1-S4 together: route, decode, flatten HTML. ``text`` is null where ``parse_error`` is set."""
-    routed = decode_text(route_by_mime(df))
-    flat = F.when(F.col("parser") == "html", html_to_text("text")).otherwise(F.col("text"))
-    return routed.withColumn("text", F.when(F.col("parse_error").isNull(), flat))
+PARSERS = {"plaintext": lambda c: c, "html": html_to_text}
 
 
-PARSERS = {"plaintext": lambda c: c, "html": html_to_text}
+def parse_documents(df: DataFrame) -> DataFrame:
+    """S1-S4 together: route, decode, parse. ``text`` is null where ``parse_error`` is set.
+
+    The parser that a row was routed to is looked up among the registered ones.
+    """
+    routed = decode_text(route_by_mime(df))
+    text = F.col("text")
+    for name, expression in PARSERS.items():
+        if name != "plaintext":
+            text = F.when(F.col("parser") == name, expression(F.col("text"))).otherwise(text)
+    return routed.withColumn("text", F.when(F.col("parse_error").isNull(), text))
 
 
-def register_parser(name: str, expression) -> None:
-    """Plug point: a parser is a column expression from decoded text to text."""
+def register_parser(name: str, expression, *media_types: str) -> None:
+    """Plug point: a parser is a column expression from decoded text to text, used for its media types."""
     PARSERS[name] = expression
+    ROUTES.update({media: name for media in media_types})
 
 
 _DERIVED = [
