@@ -26,8 +26,18 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return turns(spark, sf).where("role = 'assistant'").select(
+def restated(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns as they would be if all of a conversation were on its first turn's subject, each with a
+    figure of its own, so that answers contradict what was said before them."""
+    rows = turns(spark, sf)
+    first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("subject"))
+    figure = F.concat(F.lit(" "), F.col("turn") % 2 + 2, F.lit(" tín chỉ"))
+    return rows.join(first, "conv_id").withColumn("text", F.concat("subject", figure)).drop("subject")
+
+
+def answers(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = turns(spark, sf) if rows is None else rows
+    return rows.where("role = 'assistant'").select(
         "answer_id", F.col("text").alias("answer"), F.lit("GROUNDED").alias("status")
     )
 
@@ -51,9 +61,11 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def shared(spark: SparkSession, sf: str, keep: bool = True) -> grounding.SharedContext:
+def shared(
+    spark: SparkSession, sf: str, keep: bool = True, rows: DataFrame | None = None
+) -> grounding.SharedContext:
     """The same contexts as ranges: the turns of a conversation once, and up to which one each answer sees."""
-    rows = turns(spark, sf)
+    rows = turns(spark, sf) if rows is None else rows
     chunks = rows.select(
         F.col("conv_id").alias("ctx_id"), (F.col("turn") + 1).alias("pos"),
         F.col("answer_id").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"),
@@ -65,14 +77,14 @@ def shared(spark: SparkSession, sf: str, keep: bool = True) -> grounding.SharedC
     return grounding.SharedContext.of(chunks, ranges, keep)
 
 
-def extracted(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf).select(
+def extracted(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return answers(spark, sf, rows).select(
         "answer_id", F.posexplode(T.split_sentences_by_line("answer")).alias("pos", "claim_text")
     )
 
 
-def claims(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.claims_with_fallback(answers(spark, sf), extracted(spark, sf))
+def claims(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return grounding.claims_with_fallback(answers(spark, sf, rows), extracted(spark, sf, rows))
 
 
 _ANS = (
@@ -83,6 +95,16 @@ _ANS = (
     f"c.conv_id::VARCHAR AS doc_id, c.role AS crole, c.text AS content, {S.content_tokens('c.text')} AS ctok FROM "
     f"ans a JOIN turns c ON c.conv_id = a.conv_id AND c.turn < a.turn)"
 )
+_RESTATED = (
+    "FROM (SELECT c.conv_id, c.turn, c.role, f.text || ' ' || (c.turn % 2 + 2) || ' tín chỉ' AS text FROM "
+    "conversations c JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1) f USING (conv_id))"
+)
+
+
+def _on_restated(sql: str) -> str:
+    return sql.replace("FROM conversations)", f"{_RESTATED})", 1)
+
+
 _LOWER = S.trim("lower(answer)")
 _STRONG = " OR ".join(f"contains({_LOWER}, '{p}')" for p in fixed.STRONG_ABSTENTION)
 _WEAK = " OR ".join(f"contains({_LOWER}, '{p}')" for p in fixed.WEAK_ABSTENTION)
@@ -333,12 +355,11 @@ conflict AS (SELECT answer_id, arg_min(ca, pa * 1000 + pb) AS chunk_a,
 
 @query(
     "context_conflicts",
-    f"WITH {_ANS}, {_CONFLICT} SELECT answer_id, chunk_a, chunk_b FROM conflict",
+    _on_restated(f"WITH {_ANS}, {_CONFLICT} SELECT answer_id, chunk_a, chunk_b FROM conflict"),
 )
 def context_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.context_conflicts(shared(spark, sf)).select(
-        "answer_id", "chunk_a", "chunk_b"
-    )
+    seen = shared(spark, sf, rows=restated(spark, sf))
+    return grounding.context_conflicts(seen).select("answer_id", "chunk_a", "chunk_b")
 
 
 def faith(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,6 +413,39 @@ def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "faithfulness_of_restated",
+    _on_restated(
+        f"WITH {_FAITH} SELECT answer_id, total, n_supported, n_contradicted, score, grounded, "
+        "root_cause FROM caused"
+    ),
+)
+def faithfulness_of_restated(spark: SparkSession, sf: str) -> DataFrame:
+    """V13 to V17 where contexts conflict and claims are contradicted by their own evidence."""
+    rows = restated(spark, sf)
+    seen = shared(spark, sf, rows=rows)
+    matched = cut_lineage(grounding.match_evidence(claims(spark, sf, rows), seen))
+    return grounding.faithfulness(answers(spark, sf, rows), matched, seen)[1].select(
+        "answer_id", "total", "n_supported", "n_contradicted", "score", "grounded", "root_cause"
+    )
+
+
+_POINTING = (
+    "CASE turn % 6 WHEN 1 THEN 'Thông tin được nêu tại Mục [' || turn || '].' "
+    "WHEN 3 THEN 'Được quy định tại Điều 5: ' || (100 + turn) || ' tín chỉ.' ELSE text END"
+)
+
+
+@query(
+    "pointer_answers",
+    "SELECT conv_id || '-' || turn AS answer_id, turn % 6 = 1 AS points FROM conversations WHERE role = 'assistant'",
+)
+def pointer_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """V3: a third of the answers only point to a place, a third name a figure there, the others are as given."""
+    rows = turns(spark, sf).where("role = 'assistant'").withColumn("answer", F.expr(_POINTING))
+    return rows.select("answer_id", G.is_pointer_answer("answer").alias("points"))
+
+
 @query(
     "verify_answers",
     f"WITH {_FAITH}, {_NUM_CTX}, cn AS (SELECT v.answer_id, v.claim_id, v.verdict, "
