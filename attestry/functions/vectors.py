@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
@@ -121,3 +121,20 @@ def hash_embedding(c: Column | str, dim: int = 64, **kw) -> Column:
 def embedding_tokens(c: Column | str) -> Column:
     """A quarter of the characters, rounded up."""
     return F.ceil(T.utf16_length(T.col(c)) / 4).cast("long")
+
+
+def embedding_summary(
+    vectors: DataFrame, keys: list[str], vec: str = "embedding", dim: int | None = None
+) -> DataFrame:
+    """Per ``keys`` (such as document, provider and model) and dimension: vectors, valid ones, their mean norm.
+
+    Valid are finite vectors of ``dim`` components, or of any number if that isn't given.
+    """
+    own = F.size(T.col(vec))
+    valid = is_valid_vector(vec, dim) if dim is not None else is_valid_vector(vec, own)
+    norm = F.sqrt(F.aggregate(F.col(vec).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.groupBy(*keys, own.alias("dimensions")).agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.count_if(valid).alias("valid"),
+        F.round(F.avg(F.when(valid, norm)), 4).alias("mean_norm"),
+    )

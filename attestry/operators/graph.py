@@ -436,7 +436,12 @@ def mention_baseline(
 def graph_topk(
     scored: DataFrame, chunks: DataFrame, k: int = 20, **filters
 ) -> DataFrame:
-    """Relative score .1 + .9 raw / max, on searchable chunks that pass the filters."""
+    """Relative score .1 + .9 raw / max, on searchable chunks that pass the filters.
+
+    Where ``chunks`` has the status of its documents, only those of COMPLETED ones are searchable.
+    """
+    if "status" in chunks.columns:
+        chunks = chunks.where(F.col("status") == "COMPLETED")
     most = scored.groupBy("query_id").agg(F.greatest(F.max("raw"), F.lit(1.0)).alias("_m"))
     usable = apply_filters(chunks, **filters).select("chunk_id", "doc_id")
     rows = scored.join(most, "query_id").join(usable, "chunk_id").select(

@@ -466,3 +466,42 @@ def verify_answers(spark: SparkSession, sf: str) -> DataFrame:
         answers(spark, sf), extracted(spark, sf), shared(spark, sf)
     )
     return rows.select("answer_id", "final_status", "score")
+
+
+_VERIFIED = (
+    f"{_FAITH}, {_NUM_CTX}, cn AS (SELECT *, verdict = 'UNSUPPORTED' AND len(nums) > 0 AND NOT "
+    r"list_bool_and(list_transform(nums, lambda n: regexp_matches(n, '^(19|20)[0-9]{2}\z'))) "
+    "AND len(list_filter(nums, lambda x: NOT list_contains(nn, x))) = 0 AS rescued FROM (SELECT v.*, "
+    f"{_NUMBERS.format(e='claim_text')} AS nums, coalesce(nn, []) AS nn FROM verd v LEFT JOIN nctx USING (answer_id)))"
+)
+
+
+@query(
+    "verified_claims",
+    f"WITH {_VERIFIED} SELECT answer_id, claim_id, CASE WHEN rescued THEN 'SUPPORTED' ELSE verdict END AS verdict, "
+    "rescued OR verdict = 'SUPPORTED' AS supported, rescued FROM cn",
+)
+def verified_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """The claims behind the final statuses."""
+    _, checked, _ = grounding.verify_answers(
+        answers(spark, sf), extracted(spark, sf), shared(spark, sf)
+    )
+    return checked.select("answer_id", "claim_id", "verdict", "supported", "rescued")
+
+
+@query(
+    "verified_citations",
+    f"WITH {_VERIFIED}, r AS (SELECT answer_id, claim_id, unnest(CASE WHEN supported AND len(ev) > 0"
+    " THEN ev ELSE [NULL] END) AS chunk_id FROM evidence), bk AS (SELECT * FROM (SELECT cn.answer_id, cn.claim_id, "
+    "x.chunk_id, row_number() OVER (PARTITION BY cn.answer_id, cn.claim_id ORDER BY x.pos) AS k FROM cn JOIN (SELECT "
+    f"answer_id, pos, chunk_id, {_NUMBERS.format(e='content')} AS xn FROM ctx) x ON x.answer_id = cn.answer_id "
+    "AND list_has_any(nums, xn) WHERE rescued) WHERE k <= 3) SELECT answer_id, claim_id, chunk_id, "
+    "string_split(chunk_id, '-')[1] AS doc_id, chunk_id IS NOT NULL AS valid FROM (SELECT answer_id, claim_id, chunk_id "
+    "FROM r UNION ALL SELECT answer_id, claim_id, chunk_id FROM bk)",
+)
+def verified_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """The citations, with those of claims that their figures rescued."""
+    _, _, cites = grounding.verify_answers(
+        answers(spark, sf), extracted(spark, sf), shared(spark, sf)
+    )
+    return cites.select("answer_id", "claim_id", "chunk_id", "doc_id", "valid")

@@ -136,20 +136,17 @@ def chunk_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "embedding_summary",
-    "SELECT label::INT AS label, len(embedding)::INT AS dimensions, count(*) AS vectors, "
-    "count(*) FILTER (WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, "
-    "lambda x: isfinite(x)))) AS valid FROM embeddings GROUP BY ALL",
+    "SELECT CASE WHEN label < 7 THEN 'a' ELSE 'b' END AS model, label::INT AS label, len(embedding)::INT AS dimensions, "
+    "count(*) AS vectors, count(*) FILTER (WHERE ok) AS valid, round(avg(n) FILTER (WHERE ok), 4) AS mean_norm FROM "
+    "(SELECT *, len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AS ok, "
+    "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) GROUP BY ALL",
 )
 def embedding_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors per label and dimension, and how many pass validation."""
-    return (
-        src.table(spark, sf, "embeddings")
-        .groupBy("label", F.size("embedding").alias("dimensions"))
-        .agg(
-            F.count(F.lit(1)).alias("vectors"),
-            F.count_if(V.is_valid_vector("embedding", 64)).alias("valid"),
-        )
+    """Vectors per model, label and dimension, and how many pass validation."""
+    rows = src.table(spark, sf, "embeddings").withColumn(
+        "model", F.when(F.col("label") < 7, "a").otherwise("b")
     )
+    return V.embedding_summary(rows, ["model", "label"], dim=64)
 
 
 @query(

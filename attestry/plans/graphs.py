@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.operators import graph as G
 from attestry.operators import retrieval
-from attestry.plans import answers as A
 from attestry.plans import search
 from attestry.plans import sql as S
 from attestry.plans.registry import registry
@@ -315,7 +314,7 @@ _GRAPH_HITS = (
     + S.js_round("raw / greatest(max(raw) OVER (PARTITION BY query_id), 1.0) * 0.9::DOUBLE + 0.1::DOUBLE")
     + " AS score FROM sx), gt AS (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY "
     "score DESC, chunk_id)::INT AS rank FROM gs g JOIN documents d ON d.doc_id = chunk_id "
-    "WHERE d.lang = 'en')"
+    "WHERE d.lang = 'en' AND d.n_chars % 9 <> 0)"
 )
 
 
@@ -335,7 +334,8 @@ def graph_hits(spark: SparkSession, sf: str) -> DataFrame:
     scored = cut_lineage(G.path_chunks(paths, g.relation_mentions))
     scored = G.mention_baseline(linked, g.mentions, scored)
     docs = src.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("chunk_id"), "doc_id", "source", "lang"
+        F.col("doc_id").alias("chunk_id"), "doc_id", "source", "lang",
+        F.when(F.col("n_chars") % 9 == 0, "FAILED").otherwise("COMPLETED").alias("status"),
     )
     return G.graph_topk(scored, docs, metadata={"lang": "en"})
 
@@ -400,14 +400,35 @@ def graph_run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return G.graph_run_metrics(graph(spark, sf), log)
 
 
-@query("relation_citations")
+@query(
+    "relation_citations",
+    f"WITH {_ENT}, {_REL}, cl AS (SELECT a.doc_id, a.name AS n0, b.name AS n1 FROM er a JOIN er b "
+    "ON a.doc_id = b.doc_id AND a.ord = 0 AND b.ord = 1), "
+    "ends AS (SELECT doc_id, e.key, e.name FROM (SELECT doc_id, unnest([lower(n0), lower(n1)]) AS ln FROM cl) "
+    "JOIN ent e ON lower(e.name) = ln), "
+    "pr AS (SELECT a.doc_id, a.name AS na, b.name AS nb, r.key AS rel FROM ends a JOIN ends b ON a.doc_id = b.doc_id "
+    "AND a.name < b.name JOIN rel r ON r.s = least(a.key, b.key) AND r.t = greatest(a.key, b.key)), "
+    "fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY na, nb, rel) AS k FROM pr QUALIFY k <= 5), "
+    "pf AS (SELECT fr.doc_id, na, nb, rm.doc_id::VARCHAR AS chunk, (k, NOT (rm.doc_id = fr.doc_id AND fr.doc_id % 2 = 0), "
+    "rm.doc_id::VARCHAR) AS place FROM fr JOIN rm ON rm.key = fr.rel) "
+    "SELECT doc_id::VARCHAR AS answer_id, arg_min(chunk, place) AS chunk_id, arg_min(na, place) AS source_entity, "
+    "arg_min(nb, place) AS target_entity FROM pf GROUP BY doc_id",
+)
 def relation_citations(spark: SparkSession, sf: str) -> DataFrame:
-    """G14 for the claims of assistant turns against the document graph."""
-    context = A.context(spark, sf).select("answer_id", "chunk_id", "doc_id")
-    g = graph(spark, sf)
+    """Every document's first two names as a claim; even documents are their claim's own context."""
+    g = graph(spark, sf, describe=False)
+    made = names(spark, sf).where("size(names) >= 2").select(
+        F.col("doc_id").cast("string").alias("answer_id"), F.lit("c1").alias("claim_id"),
+        F.concat(F.get("names", F.lit(0)), F.lit(" and "), F.get("names", F.lit(1))).alias("claim_text"),
+    )
+    context = made.where("answer_id % 2 = 0").select(
+        "answer_id", F.col("answer_id").alias("chunk_id"), F.col("answer_id").alias("doc_id")
+    )
     proofs = g.relation_mentions.select(
         "key", F.col("chunk_id").cast("string").alias("chunk_id"),
         F.col("doc_id").cast("string").alias("doc_id"),
     )
     g = G.Graph(g.entities, g.mentions, g.relations, proofs)
-    return G.relation_citation(A.claims(spark, sf), g, context)
+    return G.relation_citation(made, g, context).select(
+        "answer_id", "chunk_id", "source_entity", "target_entity"
+    )
