@@ -6,7 +6,7 @@ insult with characters put in or left out, or split by spaces, therefore stays c
 windows that begin before each word of a sentence, whatever its language, and hold that word or, with
 the words behind it, ``WINDOW`` symbols:
 letters are symbols by their code points, hashed over ``SYMBOLS``, other characters are dropped,
-look-alikes inside words count as letters, white space is one symbol, and runs of single letters are
+look-alikes between two letters count as letters, white space is one symbol, and runs of single letters are
 joined. The kernel is approximated by Nystroem landmarks, drawn from toxic and clean windows, on whose
 features a linear machine with squared hinge loss is trained. Since every landmark's triples
 are known, the machine folds into one weight for each triple (hashed over ``BUCKETS``), and a text is
@@ -45,6 +45,7 @@ SYMBOLS = 64
 BUCKETS = 1 << 16
 GROUP, GROUPS = 5, 1 << 18
 PIECE, OVERLAP = 1 << 20, 64
+ROWS = 2048
 FLOOR = -3.0
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 #: The norm of a window by its length (texts may end before it), as if all its triples were different.
@@ -83,15 +84,8 @@ def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sign = np.where(points < 128, DISGUISED[np.minimum(points, 127)], 0)
     end = points == 0
     space = ~end & ((points <= 32) | (points == 0xA0))
-    # look-alikes count before a word's last letter, in words with two letters or more
-    if sign.any():
-        word, letters = np.cumsum(space | end), np.flatnonzero(sym)
-        last = np.full(word[-1] + 1, -1)
-        np.maximum.at(last, word[letters], letters)
-        enough = np.bincount(word[letters], minlength=len(last)) >= 2
-        at = np.flatnonzero((sign > 0) & (sym == 0))
-        at = at[enough[word[at]] & (at < last[word[at]])]
-        sym[at] = sign[at]
+    before, after = np.r_[0, sym[:-1]], np.r_[sym[1:], 0]
+    sym = np.where((sym == 0) & (before > 0) & (after > 0), sign, sym).astype(np.uint8)
     keep = (sym > 0) | space | end
     sym, end = sym[keep], end[keep]
     gap = sym == 0
@@ -247,25 +241,34 @@ def fit(toxic: np.ndarray, clean: np.ndarray, landmarks: int = 384, penalty: flo
         return first + np.unique(np.linspace(0, n - 1, min(landmarks // 2, n)).astype(int))
 
     chosen = np.r_[spread(0, len(toxic)), spread(len(toxic), len(clean))]
-    owner, code, value = features(windows)
-    own_owner, own_code, own_value = features(windows[chosen])
+    owner, code, value = features(windows[chosen])
     marks = np.zeros((len(chosen), BUCKETS), np.float32)
-    np.add.at(marks, (own_owner, own_code), own_value)
-    kernel = np.empty((len(windows), len(chosen)))
-    for j in range(len(chosen)):
-        kernel[:, j] = np.bincount(owner, weights=value * marks[j][code], minlength=len(windows))
-    values, vectors = np.linalg.eigh((kernel[chosen] + kernel[chosen].T) / 2)
+    np.add.at(marks, (owner, code), value)
+
+    def kernel(part: np.ndarray) -> np.ndarray:
+        owner, code, value = features(part)
+        return np.stack([np.bincount(owner, value * m[code], minlength=len(part)) for m in marks], axis=1)
+
+    values, vectors = np.linalg.eigh(kernel(windows[chosen]))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    x = np.c_[kernel @ root, np.ones(len(windows))]
+    # in blocks, as the driver's memory is small
+    x = np.ones((len(windows), root.shape[1] + 1))
+    cuts = [slice(i, min(i + ROWS, len(windows))) for i in range(0, len(windows), ROWS)]
+    for cut in cuts:
+        x[cut, :-1] = kernel(windows[cut]) @ root
     weight = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean))
     w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of the squared hinge loss
-        slack = np.maximum(0, 1 - y * (x @ w))
-        active = slack > 0
-        xa, ca = x[active], weight[active]
-        grad = penalty * w - xa.T @ (ca * y[active] * slack[active])
-        step = np.linalg.solve(penalty * np.eye(len(w)) + xa.T @ (ca[:, None] * xa), grad)
+        grad, curve = penalty * w, penalty * np.eye(len(w))
+        for cut in cuts:
+            part = x[cut]
+            slack = np.maximum(0, 1 - y[cut] * (part @ w))
+            active = slack > 0
+            part, share = part[active], weight[cut][active]
+            grad -= part.T @ (share * y[cut][active] * slack[active])
+            curve += part.T @ (share[:, None] * part)
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
