@@ -280,7 +280,7 @@ _NORM_KEY = S.trim(S.squeeze("lower(nfc_normalize(text))"))
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Every French document comes once more, in capitals and with wider blanks."""
     table = src.table(spark, sf, "documents")
-    wide = F.concat(F.lit("  "), F.upper(F.replace(F.col("text"), F.lit(" "), F.lit("   "))))
+    wide = F.concat(F.lit("  "), T.simple_upper(F.replace(F.col("text"), F.lit(" "), F.lit("   "))))
     changed = table.where("lang = 'fr'").select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), wide.alias("text"))
     docs = src.spread(table.select("doc_id", "text").union(changed)).select(
         "doc_id",
@@ -448,7 +448,7 @@ def replace_chunks(spark: SparkSession, sf: str) -> DataFrame:
     folder = _workspace(spark)
     tables.write_parts(_line_rows(docs), f"{folder}/parts", "doc_id", 8)
     again = docs.where("lang IN ('fr', 'es')").select("doc_id")
-    new = _line_rows(docs.where("lang = 'fr'").withColumn("text", F.upper("text")))
+    new = _line_rows(docs.where("lang = 'fr'").withColumn("text", T.simple_upper("text")))
     tables.replace_chunks(new, f"{folder}/parts", f"{folder}/staging", buckets=8, owners=again)
     return spark.read.parquet(f"{folder}/parts").select("doc_id", "seq", "line_sha")
 

@@ -35,6 +35,27 @@ def test_normalize_and_clean_audit(spark):
     assert "clean:remove:page-numbers(1)" in row["transformations"]
 
 
+def test_capitals_one_for_one(spark):
+    import duckdb
+
+    texts = ["straße", "", "ﬁn d'été", "ᾳ ΐ ŉ", "ẞß", "déjà\nvu"]
+    want = [duckdb.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
+    assert [one(spark, T.simple_upper("t"), t=t) for t in texts] == want
+    grow = T._GROWING
+    assert one(spark, T.simple_upper("t"), t=grow) == duckdb.execute("SELECT upper(?)", [grow]).fetchone()[0]
+
+
+def test_capitals_of_repeated_texts_make_duplicates(spark, tmp_path):
+    from attestry.plans import corpus
+    from attestry.plans.chunks import marked_paragraphs
+
+    rows = [(1, "fr", "rue ß et fin"), (2, "de", "Straße")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marked = [r.doc_id for r in marked_paragraphs(spark, str(tmp_path)).where("is_duplicate").collect()]
+    near = corpus.near_duplicates(spark, str(tmp_path)).collect()
+    assert marked == [1] and [tuple(r) for r in near] == [(1_000_000_000_001, 1)]
+
+
 def test_duplicates_skip_dead_rows(spark):
     rows = [(1, "a", "REJECTED"), (2, "a", "COMPLETED"), (3, "a", "COMPLETED"), (4, "b", "COMPLETED")]
     df = spark.createDataFrame(rows, ["doc_id", "checksum", "status"])
