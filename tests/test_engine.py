@@ -176,3 +176,35 @@ def test_repeats_across_batches_are_rejected(spark):
     }
     first = {r["doc_id"]: r["status"] for r in jobs.reject_repeats(rows, None).collect()}
     assert first[5] == "VALIDATING" and first[7] == "REJECTED"
+
+
+def shuffled(spark, df):
+    """Rows of ``df`` and the megabytes that were shuffled for it."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    executors = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(True))
+    before = sum(e.totalShuffleWrite() for e in executors())
+    rows = df.collect()
+    return rows, (sum(e.totalShuffleWrite() for e in executors()) - before) / 1e6
+
+
+def test_relation_citation_of_a_hub_stays_small(spark):
+    n = 1500
+    name = lambda i: "N" + "".join(chr(97 + int(d)) for d in str(i))
+    entities = spark.createDataFrame([(f"k{i}", name(i)) for i in range(n)], "key string, name string")
+    relations = spark.createDataFrame(
+        [(f"r{i}", "NEXT_TO", "k0", f"k{i}") for i in range(1, n)], "key string, type string, source_key string, target_key string"
+    )
+    proofs = spark.createDataFrame(
+        [(f"r{i}", c, d) for i in range(1, n) for c, d in ((f"c{i}", "d1"), ("c0", "d0"), ("c9", "d9"))],
+        "key string, chunk_id string, doc_id string",
+    )
+    claims = spark.createDataFrame(
+        [(f"a{i}", "c1", f"{name(0)} and {name(i)}") for i in range(1, n)], "answer_id string, claim_id string, claim_text string"
+    )
+    context = spark.createDataFrame([("a1", "c9", "d9"), ("a2", "c2", "d0"), ("a3", "none", "none")],
+                                    "answer_id string, chunk_id string, doc_id string")
+    g = KG.Graph(entities, None, relations, proofs)
+    rows, size = shuffled(spark, KG.relation_citation(claims, g, context))
+    got = {r.answer_id: (r.chunk_id, r.doc_id) for r in rows}
+    assert len(got) == n - 1 and size < 8
+    assert got["a1"] == ("c9", "d9") and got["a2"] == ("c2", "d0") and got["a3"] == ("c0", "d0")
