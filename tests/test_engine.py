@@ -208,3 +208,34 @@ def test_relation_citation_of_a_hub_stays_small(spark):
     got = {r.answer_id: (r.chunk_id, r.doc_id) for r in rows}
     assert len(got) == n - 1 and size < 8
     assert got["a1"] == ("c9", "d9") and got["a2"] == ("c2", "d0") and got["a3"] == ("c0", "d0")
+
+
+def test_keyword_topk_by_tiles_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(retrieval, "KEYWORD_TILE", 7)
+    monkeypatch.setattr(retrieval, "KEYWORD_BLOCK", 4)
+    asked = [(q, f"t{t}") for q in range(9) for t in rng.sample(range(12), 4)]
+    stored = [(c, f"t{t}", rng.randint(1, 5)) for c in range(200) for t in rng.sample(range(12), 5)]
+    lists = [(q, c) for q in range(8) for c in range(q, 200, q + 3)]
+    terms = spark.createDataFrame(asked, "query_id long, term string")
+    postings = spark.createDataFrame(stored, "chunk_id long, term string, tf long")
+    allowed = spark.createDataFrame(lists, "query_id long, chunk_id long")
+    for own in (None, set(lists)):
+        got = retrieval.keyword_topk(terms, postings, 6, allowed=None if own is None else allowed).collect()
+        raw = {}
+        for q, t in asked:
+            for c, u, tf in stored:
+                if t == u and (own is None or (q, c) in own):
+                    raw[q, c] = raw.get((q, c), 0.0) + sum(1 / j**2 for j in range(1, tf + 1))
+        want = set()
+        for q in range(9):
+            best = sorted((-round(v, 9), c) for (p, c), v in raw.items() if p == q)[:6]
+            want |= {(q, c, i + 1, round(v / best[0][0], 6)) for i, (v, c) in enumerate(best)}
+        assert {(r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in got} == want
+
+
+def test_keyword_search_does_not_shuffle_all_pairs(spark):
+    terms = spark.range(200).select(F.col("id").alias("query_id"), F.lit("common").alias("term"))
+    postings = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.lit("common").alias("term"), F.lit(1).alias("tf"))
+    rows, size = shuffled(spark, retrieval.keyword_topk(terms, postings, 3))
+    assert len(rows) == 600 and {r.chunk_id for r in rows} == {0, 1, 2} and size < 5
