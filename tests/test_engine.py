@@ -239,3 +239,14 @@ def test_keyword_search_does_not_shuffle_all_pairs(spark):
     postings = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.lit("common").alias("term"), F.lit(1).alias("tf"))
     rows, size = shuffled(spark, retrieval.keyword_topk(terms, postings, 3))
     assert len(rows) == 600 and {r.chunk_id for r in rows} == {0, 1, 2} and size < 5
+
+
+def test_placing_vectors_copies_no_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    centers = spark.createDataFrame([(i, x[i * 40].tolist()) for i in range(100)], "cell int, center array<double>")
+    got, size = shuffled(spark, retrieval.nearest_cells(rows, centers, 2, "l2"))
+    far = ((x[:, None] - x[None, ::40]) ** 2).sum(2)
+    assert {(r.id, r.cell) for r in got} == {(i, int(c)) for i in range(4000) for c in np.argsort(far[i])[:2]}
+    assert size < 0.1
