@@ -250,3 +250,20 @@ def test_placing_vectors_copies_no_vector(spark):
     far = ((x[:, None] - x[None, ::40]) ** 2).sum(2)
     assert {(r.id, r.cell) for r in got} == {(i, int(c)) for i in range(4000) for c in np.argsort(far[i])[:2]}
     assert size < 0.1
+
+
+def test_graph_counts_shuffle_every_mention_once(spark):
+    at = F.col("id")
+    rows = spark.range(40_000).select(
+        (at % 4_000).alias("chunk_id"), (at % 4_000).alias("doc_id"), F.floor(at / 4_000).alias("ord"),
+        F.concat(F.lit("N"), at % 9_001).alias("name"), F.lit("org").alias("type"), F.lit("").alias("description"),
+    )
+    links = rows.select(
+        "chunk_id", "doc_id", "ord", F.col("name").alias("source"),
+        F.concat(F.lit("N"), (F.col("chunk_id") + 4_000 * ((F.col("ord") + 1) % 10)) % 9_001).alias("target"),
+        F.lit("to").alias("type"), F.lit("").alias("description"),
+    )
+    entities, mentions = KG.resolve_entities(rows, ["doc_id", "ord"], False)
+    relations, proofs = KG.resolve_relations(links, rows, ["doc_id", "ord"], False)
+    got, size = shuffled(spark, KG.graph_summary(KG.Graph(entities, mentions, relations, proofs))[0])
+    assert len(got) == 4_000 and {tuple(r)[1:] for r in got} == {(10, 10)} and size < 7
