@@ -56,6 +56,27 @@ def test_capitals_of_repeated_texts_make_duplicates(spark, tmp_path):
     assert marked == [1] and [tuple(r) for r in near] == [(1_000_000_000_001, 1)]
 
 
+def test_small_letters_one_for_one(spark):
+    import duckdb
+
+    texts = ["ΟΔΥΣΣΕΥΣ ΑΣ Σ ς", "İstanbul İ", "i̇ ẞ ﬁ ǅ", "", "DÉJÀ\nVU"]
+    want = [duckdb.execute("SELECT lower(?)", [t]).fetchone()[0] for t in texts]
+    assert [one(spark, T.simple_lower("t"), t=t) for t in texts] == want
+
+
+@pytest.mark.parametrize("name", ["duplicate_chunks", "chunk_quality", "chunking_summary", "near_duplicates"])
+def test_capital_sigma_and_dotted_i_as_in_the_sql(spark, tmp_path, name):
+    from attestry import plans
+    from tests.oracle import compare, connect
+
+    rows = [(1, "fr", "aσ"), (2, "fr", "aς"), (3, "fr", "aİ"), (4, "en", "aΣ\n\naσ\n\naς"), (5, "en", "Aσ"), (6, "en", "ai"),
+            (7, "fr", None), (8, None, "aς bσ.\n\nAΣ BΣ.")]
+    made = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    made.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    problem, *_ = compare(spark, connect(str(tmp_path)), str(tmp_path), plans.queries()[name], plans.oracles()[name])
+    assert not problem
+
+
 def test_duplicates_skip_dead_rows(spark):
     rows = [(1, "a", "REJECTED"), (2, "a", "COMPLETED"), (3, "a", "COMPLETED"), (4, "b", "COMPLETED")]
     df = spark.createDataFrame(rows, ["doc_id", "checksum", "status"])
