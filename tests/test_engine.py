@@ -267,3 +267,47 @@ def test_graph_counts_shuffle_every_mention_once(spark):
     relations, proofs = KG.resolve_relations(links, rows, ["doc_id", "ord"], False)
     got, size = shuffled(spark, KG.graph_summary(KG.Graph(entities, mentions, relations, proofs))[0])
     assert len(got) == 4_000 and {tuple(r)[1:] for r in got} == {(10, 10)} and size < 7
+
+
+def test_paths_build_only_nodes_in_reach(spark):
+    """A node that no seed reaches is not built; what is built and the paths are those of the whole graph."""
+    pairs = [(i, i + 1) for i in range(12)] + [(0, i) for i in range(20, 26)] + [(i, i + 1) for i in range(40, 60)]
+    rows = [(f"{a:02}-{b:02}", f"{a:02}", f"{b:02}", float((a * 7 + b) % 5 + 1)) for a, b in pairs]
+    relations = spark.createDataFrame(rows, "key string, source_key string, target_key string, weight double")
+    seeds = spark.createDataFrame([(1, "02"), (2, "00"), (2, "11")], "query_id long, key string")
+    starts = seeds.select(F.col("key").alias("a"))
+    for hops, cap in ((1, 200), (2, 200), (3, 200), (3, 6)):
+        whole = {r.a: r for r in KG.adjacency(relations, hops, cap).collect()}
+        near = {r.a: r for r in KG.adjacency(relations, hops, cap, starts).collect()}
+        capped = {"00"} if cap == 6 else set()
+        reach = {"00", "02", "11"} - capped
+        for _ in range(hops - 1):
+            reach |= {w.b for a in reach for w in whole[a].ways}
+        assert set(near) == reach and "45" not in near
+        assert all(near[a].ways == whole[a].ways for a in reach)
+        found = {(r.query_id, tuple(r.edges), r.score, r.rank) for r in KG.khop_paths(seeds, relations, hops, 4, cap).collect()}
+        step = {a: [(w.edge, w.b, w.weight) for w in r.ways] for a, r in whole.items()}
+        want = set()
+        for q in (1, 2):
+            paths = [((e,), b, w) for r in seeds.collect() if r.query_id == q for e, b, w in step.get(r.key, [])]
+            done = list(paths)
+            for _ in range(hops - 1):
+                paths = [((*es, e), b, s + w) for es, at, s in paths for e, b, w in step.get(at, []) if e not in es]
+                done += paths
+            best = sorted(done, key=lambda p: (-p[2], ",".join(p[0]), p[1]))[:4]
+            want |= {(q, es, s, i + 1) for i, (es, _, s) in enumerate(best)}
+        assert found == want
+
+
+def test_composed_names_need_no_python_and_hits_are_made_once(spark):
+    from attestry.plans import search
+
+    rows = spark.createDataFrame([(1, 1, 0, "Élan  Vital", "org"), (2, 2, 0, "ÉLAN vital", "org")],
+                                 "chunk_id long, doc_id long, ord long, name string, type string")
+    one, two = (KG.resolve_entities(rows, ["doc_id", "ord"], False, c) for c in (False, True))
+    assert [[sorted(map(tuple, d.collect())) for d in x] for x in (one, two)][0] == [sorted(map(tuple, d.collect())) for d in two]
+    asked = spark.createDataFrame([(1, "un élan vital, Élan")], "query_id long, query string")
+    linked = KG.link_entities(asked, two[0], composed=True)
+    assert [(r.query_id, r["name"]) for r in linked.collect()] == [(1, "Élan  Vital")]
+    plan = search.rerank_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
