@@ -77,6 +77,19 @@ def test_capital_sigma_and_dotted_i_as_in_the_sql(spark, tmp_path, name):
     assert not problem
 
 
+@pytest.mark.parametrize("name", ["duplicate_chunks", "chunking_summary"])
+def test_missing_and_repeated_ids_as_in_the_sql(spark, tmp_path, name):
+    from attestry.plans import chunks
+    from tests import oracle
+
+    rows = [(None, "de", "a\n\nb\n\na"), (2, "de", "c\n\nd\n\nc"), (2, "de", "c\n\nd"), (3, "de", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(spark, con, str(tmp_path), chunks.QUERIES[name], chunks.ORACLES[name])[0] == ""
+
+
 def test_duplicates_skip_dead_rows(spark):
     rows = [(1, "a", "REJECTED"), (2, "a", "COMPLETED"), (3, "a", "COMPLETED"), (4, "b", "COMPLETED")]
     df = spark.createDataFrame(rows, ["doc_id", "checksum", "status"])
