@@ -311,3 +311,12 @@ def test_composed_names_need_no_python_and_hits_are_made_once(spark):
     assert [(r.query_id, r["name"]) for r in linked.collect()] == [(1, "Élan  Vital")]
     plan = search.rerank_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan
+
+
+def test_only_texts_that_were_hit_leave_the_scan(spark):
+    import re
+
+    from attestry.plans import search
+
+    plan = search.hit_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi, \((?:chunk|doc)_id#\d+L? = chunk_id#\d+L?\), rightHint=\(strategy=broadcast\)", plan)
