@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.operators import chunking
+from attestry.operators import graph as KG
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,3 +25,23 @@ def test_chunking_summary_counts_the_flags(spark):
         own[r.f] = own.get(r.f, 0) + 1
     texts = {r.doc_id: r.flag_counts for r in chunks.chunking_summary(spark, SMALL).collect()}
     assert texts == {d: ",".join(f"{f}:{n}" for f, n in sorted(own.items())) for d, own in flags.items()}
+
+
+def test_graph_summary_names_the_most_mentioned(spark):
+    from attestry.plans import graphs
+
+    rows = graphs.graph_summary(spark, SMALL).collect()
+    listed = {}
+    for r in sorted(graphs.graph_top_entities(spark, SMALL).collect(), key=lambda r: r["rank"]):
+        listed.setdefault(r.doc_id, []).append(f"{r['name']}|{r.type}|{r.mentions}")
+    assert {r.doc_id: r.top_entities for r in rows} == {d: ";".join(own) for d, own in listed.items()}
+    assert all(len(listed[r.doc_id]) == min(10, r.entities) for r in rows)
+
+
+def test_graph_counts_build_no_names(spark):
+    """The counts alone join no entity, so nothing is prepared that has no effect."""
+    mentions = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("a", 2, 1)], "key string, chunk_id int, doc_id int")
+    log = spark.createDataFrame([(1, 1, True, 3, 1, 0.5)], "doc_id int, chunk_id int, from_cache boolean, input_tokens int, output_tokens int, cost double")
+    g = KG.Graph(None, mentions, None, mentions.where("key = 'a'"))
+    rows = KG.graph_run_metrics(g, log).collect()
+    assert [(r.doc_id, r.entities, r.relations) for r in rows] == [(1, 2, 1)]
