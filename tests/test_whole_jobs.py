@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestry.operators import chunking
@@ -45,3 +47,19 @@ def test_graph_counts_build_no_names(spark):
     g = KG.Graph(None, mentions, None, mentions.where("key = 'a'"))
     rows = KG.graph_run_metrics(g, log).collect()
     assert [(r.doc_id, r.entities, r.relations) for r in rows] == [(1, 2, 1)]
+
+
+def test_stored_postings_are_counted_in_the_row_and_dealt_once(spark):
+    from attestry.operators import retrieval
+
+    rows = [(1, 1, "red sea Red"), (2, 2, "a/b-c a b"), (2, 2, "a"), (3, 3, ""), (4, 4, None), (None, 5, "red"), (6, None, "red")]
+    docs = spark.createDataFrame(rows, "chunk_id int, doc_id int, content string")
+    plain = retrieval.build_postings(docs.where("chunk_id is not null and doc_id is not null")).collect()
+    name = f"t_{uuid.uuid4().hex}"
+    postings = retrieval.build_postings(docs, doc="doc_id", buckets=4)
+    retrieval.write_postings(postings, name, docs.select("chunk_id", "doc_id"), 4)
+    assert {(r.chunk_id, r.term, r.tf) for r in spark.table(name).collect()} == {tuple(r) for r in plain}
+    plan = retrieval._owned(postings, docs).repartition(4, "term")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    for table in (name, f"{name}_replaced"):
+        spark.sql(f"DROP TABLE {table}")
