@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -63,3 +64,39 @@ def test_stored_postings_are_counted_in_the_row_and_dealt_once(spark):
     assert plan.count("Exchange") == 1
     for table in (name, f"{name}_replaced"):
         spark.sql(f"DROP TABLE {table}")
+
+
+def graph_of_neighbours(spark, n=20_000):
+    at = F.col("id")
+    rows = spark.range(n).select(
+        (at % 2_000).alias("chunk_id"), (at % 2_000).alias("doc_id"), F.floor(at / 2_000).alias("ord"),
+        F.concat(F.lit("N"), at % 4_501).alias("name"), F.lit("org").alias("type"), F.lit("").alias("description"),
+    )
+    links = rows.select(
+        "chunk_id", "doc_id", "ord", F.col("name").alias("source"),
+        F.concat(F.lit("N"), (F.col("chunk_id") + 2_000 * ((F.col("ord") + 1) % 10)) % 4_501).alias("target"),
+        F.lit("to").alias("type"), F.lit("").alias("description"),
+    )
+    return rows, links
+
+
+def test_graphs_are_resolved_and_merged_in_few_bytes(spark):
+    """Keys are what they were; resolving and merging move the names' texts and short keys."""
+    from tests.test_engine import shuffled
+
+    rows, links = graph_of_neighbours(spark)
+    g = KG.resolve_graph(rows, links, ["doc_id", "ord"], False)
+    first = g.entities.where("name = 'N7'").select(KG.shown("key").alias("key")).first()
+    assert first.key == hashlib.sha256(b"n7|org").hexdigest()
+    link = g.relations.select(*[KG.shown(c).alias(c) for c in ("key", "source_key", "target_key")]).first()
+    assert link.source_key < link.target_key
+    assert link.key == hashlib.sha256(f"{link.source_key}|{link.target_key}|to".encode()).hexdigest()
+    even = rows.where("doc_id % 2 = 0").select("doc_id")
+
+    def merged():
+        return KG.merge_graph(KG.reconcile_graph(g, even), KG.remove_documents(g, even))
+
+    whole = {(bytes(r.key), r.weight) for r in g.relations.collect()}
+    got, size = shuffled(spark, merged().relations.select("key", "weight"))
+    assert {(bytes(r.key), r.weight) for r in got} == whole and size < 3.5
+    assert merged().mentions.count() == g.mentions.count() == rows.select("chunk_id", "name").distinct().count()
