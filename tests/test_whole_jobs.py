@@ -100,3 +100,28 @@ def test_graphs_are_resolved_and_merged_in_few_bytes(spark):
     got, size = shuffled(spark, merged().relations.select("key", "weight"))
     assert {(bytes(r.key), r.weight) for r in got} == whole and size < 3.5
     assert merged().mentions.count() == g.mentions.count() == rows.select("chunk_id", "name").distinct().count()
+
+
+def test_relation_citation_moves_only_relations_that_are_tried(spark):
+    from tests.test_engine import shuffled
+
+    rows, links = graph_of_neighbours(spark)
+    g = KG.resolve_graph(rows, links, ["doc_id", "ord"], False)
+    proofs = g.relation_mentions.select("key", *[F.col(c).cast("string").alias(c) for c in ("chunk_id", "doc_id")])
+    g = KG.Graph(g.entities, g.mentions, g.relations, proofs)
+    claims = rows.where("doc_id < 4 and ord = 0").select(
+        F.col("doc_id").cast("string").alias("answer_id"), F.lit("c1").alias("claim_id"), F.lit("Na and Nb").alias("claim_text")
+    )
+    names = {f"N{i}": f"N{chr(97 + i)}" for i in (0, 1)}
+    entities = g.entities.replace(names, subset=["name"])
+    pair = {r.name: r.key for r in entities.where("name in ('Na', 'Nb')").collect()}
+    added = spark.createDataFrame(
+        [(b"r", min(pair.values()), max(pair.values()), "TO", "", 1.0)],
+        g.relations.schema,
+    )
+    own = spark.createDataFrame([(b"r", "9", "9"), (b"r", "3", "3")], g.relation_mentions.schema)
+    near = spark.createDataFrame([("2", "9", "9")], "answer_id string, chunk_id string, doc_id string")
+    g = KG.Graph(entities, g.mentions, g.relations.unionByName(added), proofs.unionByName(own))
+    found, size = shuffled(spark, KG.relation_citation(claims, g, near))
+    assert {(r.answer_id, r.chunk_id) for r in found} == {("0", "3"), ("1", "3"), ("2", "9"), ("3", "3")}
+    assert size < 3
