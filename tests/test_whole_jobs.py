@@ -125,3 +125,29 @@ def test_relation_citation_moves_only_relations_that_are_tried(spark):
     found, size = shuffled(spark, KG.relation_citation(claims, g, near))
     assert {(r.answer_id, r.chunk_id) for r in found} == {("0", "3"), ("1", "3"), ("2", "9"), ("3", "3")}
     assert size < 3
+
+
+def test_cleaning_steps_are_skipped_only_where_nothing_matches(spark, monkeypatch):
+    from attestry.operators import ingest
+
+    texts = ["", "plain. Text", "﻿a\r\nb\rc", "x​y­z⁠﻿", "a b　c ", "a  b\tc\t\td \t e",
+             "one\n\n\n\ntwo\n\n\nthree", "hy-\nphen and low,\ncase\nUp", "<!-- c -->[<!-- d -->]( ) \\* \\_ []()", "é-\né ü\nö", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def made():
+        rows = ingest.clean_text(ingest.normalize_text(docs)).collect()
+        return {r.doc_id: (r.text, list(r.transformations)) for r in rows}
+
+    got = made()
+    monkeypatch.setattr(ingest, "_holds", lambda t, *parts: F.lit(True))
+    monkeypatch.setattr(ingest, "_wide", lambda t: F.lit(True))
+    assert made() == got and sum(bool(steps) for _, steps in got.values()) == 8
+
+
+def test_tokens_of_packed_chunks_are_added_up(spark):
+    text = "# A #\n\none, two\nthree\n\nfour ( five )\n\n## B\n\nsix\n\n```\ncode = 1\n```\n" + "word. Next " * 40
+    docs = spark.createDataFrame([(1, text), (2, "#\n\n#x\n\n~~~\na"), (3, "")], "doc_id int, text string")
+    rows = chunking.chunk_documents(docs, size=30, least=6, overlap=4)
+    assert rows.count() > 5 and rows.where(chunking.token_count("content") != F.col("tokens")).count() == 0
+    plan = rows.select("tokens")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan.split("Generate")[0]
